@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from marlstone.llm import conversations
+from marlstone.llm import conversations, encode, leaks
 
-MODULES = [conversations]
+MODULES = [conversations, encode, leaks]
