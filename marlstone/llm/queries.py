@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from marlstone.llm import conversations, encode, leaks
+from marlstone.llm import conversations, encode, leaks, toxicity
 
-MODULES = [conversations, encode, leaks]
+MODULES = [conversations, encode, leaks, toxicity]
