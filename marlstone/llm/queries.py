@@ -1,5 +1,5 @@
 """The query modules of this subpackage."""
 
-from marlstone.llm import conversations, dedup, encode, leaks, toxicity
+from marlstone.llm import conversations, dedup, encode, leaks, personal, toxicity
 
-MODULES = [dedup, conversations, encode, leaks, toxicity]
+MODULES = [dedup, personal, conversations, encode, leaks, toxicity]
