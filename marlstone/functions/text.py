@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with marks, and the letters that they are folded to.
-MARKED = "àáâãäåāăąçćĉċčďđèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöøōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżžł"
-FOLDED = "aaaaaaaaacccccddeeeeeeeeegggghiiiiiiiijklllnnnnoooooooooorrrssssttuuuuuuuuuuwyyyzzzl"
+# Small Latin letters with marks and their base letters, by decomposition; two by hand.
+_BASE = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xE0, 0x180) if unicodedata.decomposition(chr(c)) and chr(c).islower()}
+_BASE = {k: v for k, v in _BASE.items() if v.isascii() and v.isalpha()} | {"ł": "l", "ς": "σ"}
+MARKED, FOLDED = "".join(_BASE), "".join(_BASE.values())
 SPACES = r"(?U)^\s+|\s+$"
 
 
@@ -27,6 +30,12 @@ def fold_words(text: Column) -> Column:
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def padded_words(text: Column) -> Column:
+    """The index terms as one text, each between blanks of its own, so that counting needs no array."""
+    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, FOLDED)
+    return F.concat(F.lit(" "), F.regexp_replace(folded, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
+
+
 def query_terms(text: Column) -> Column:
     """Search terms: runs of letters, digits, '_', '-' and '.' of two characters or more."""
     return F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\p{L}\p{N}_.-]+)"), F.lit(1)), lambda t: F.length(t) >= 2)

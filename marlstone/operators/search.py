@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import fold_words, query_terms
+from marlstone.functions.text import fold_words, padded_words, query_terms
 from marlstone.functions.vectors import cosine
 from marlstone.operators.ranking import split_rank
 
@@ -36,13 +36,13 @@ def dense_ranks(chunks: DataFrame, vector: list[float]) -> DataFrame:
     return split_rank(scored, [], [F.col("cos").desc(), F.col("chunk_id")], -F.floor(F.col("cos") * 5000), "rank")
 
 
-def term_frequency(words: Column, term: list[str]) -> Column:
-    """How often the words hold a term; one of several words is a phrase of adjacent ones."""
-    if len(term) == 1:
-        return F.size(F.filter(words, lambda w: w == term[0]))
-    phrase = F.array(*map(F.lit, term))
-    places = F.when(F.size(words) >= len(term), F.sequence(F.lit(1), F.size(words) - len(term) + 1)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(places, lambda i: F.slice(words, i, len(term)) == phrase))
+def term_frequency(padded: Column, term: list[str]) -> Column:
+    """How often padded words hold a term; one of several words is a phrase of adjacent ones.
+
+    Terms are words of letters and digits, so they need no escaping; the lookahead lets
+    occurrences of a phrase overlap.
+    """
+    return F.regexp_count(padded, F.lit(f"(?= {'  '.join(term)} )"))
 
 
 def parse_query(spark, text: str) -> list[list[str]]:
@@ -60,8 +60,8 @@ def bm25(chunks: DataFrame, terms: list[list[str]]) -> DataFrame:
     spark = chunks.sparkSession
     if not terms:
         return spark.createDataFrame([], "chunk_id string, bm25 double")
-    words = chunks.select("chunk_id", fold_words(F.col("text")).alias("w"))
-    tf = words.select("chunk_id", F.size("w").alias("len"), *[term_frequency(F.col("w"), t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    words = chunks.select("chunk_id", padded_words(F.col("text")).alias("w"))
+    tf = words.select("chunk_id", F.regexp_count("w", F.lit(r"[\p{L}\p{N}]+")).alias("len"), *[term_frequency(F.col("w"), t).alias(f"tf{i}") for i, t in enumerate(terms)])
     totals = tf.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
