@@ -1,0 +1,64 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from marlstone.functions.chunking import paragraphs_to_chunks, record_to_chunks
+from marlstone.sources import files
+from marlstone.store import Store, by_file_type, by_prefix
+from marlstone.streaming.watch import watch
+
+
+def test_watch_ingest_and_mutations(spark, tmp_path):
+    box = tmp_path / "box"
+    box.mkdir()
+    (box / "a.md").write_text("# Title\n\nbody")
+    (box / "same.md").write_text("# Title\n\nbody")
+    (box / "b.json").write_text('{"b": 1, "a": "é"}')
+    (box / "bad.json").write_text("{")
+    (box / "empty.txt").write_text(" \n")
+    (box / "x.png").write_bytes(b"\x89PNG")
+    (box / "c.html").write_text("<p>Hi</p><script>x</script>")
+    store = Store(spark, str(tmp_path / "store"))
+    for _ in range(2):
+        watch(spark, str(box), store, str(tmp_path / "ck"), once=True).awaitTermination()
+    docs = {r.file_type: r for r in store.read("documents").collect()}
+    assert sorted(docs) == ["html", "json", "md"] and docs["html"].raw_text == "Hi\n" and docs["md"].title == "# Title"
+    assert store.read("chunks").count() == 3
+
+    number = store.create_collection("Work")
+    with pytest.raises(ValueError):
+        store.create_collection("Work")
+    ids = store.read("documents").select("document_id")
+    assert store.add_members(number, ids) == 3 and store.add_members(number, ids) == 0
+    assert store.delete(by_file_type("json"), dry_run=True) == (1, 1) and store.read("documents").count() == 3
+    assert store.delete(by_file_type("json")) == (1, 1) and store.read("members").count() == 2
+    assert store.remove_members(number, ids) == 2 and store.delete_collection(number) and not store.delete_collection(number)
+    assert store.delete(by_prefix("FILE:")) == (2, 2) and store.read("documents").count() == 0
+
+
+def test_archives(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("name,role\nAnn,dev\n,\nBob,ops,extra\n")
+    rows = files.read_archive(spark, "csv", str(tmp_path / "t.csv")).collect()
+    assert [r.title for r in rows] == ["t.csv row 1", "t.csv row 2"] and rows[1].body.endswith("name: Bob\nrole: ops\ncol_3: extra\n")
+    chat = tmp_path / "d"
+    chat.mkdir()
+    (chat / "x.json").write_text(json.dumps({"guild": {"name": "G"}, "channel": {"name": "c"}, "messages": [{"id": "1", "timestamp": "2024-01-02T03:04:05", "content": "hi", "author": {"name": "a"}}, {"id": "2", "content": ""}]}))
+    (chat / "bad.json").write_text("nope")
+    assert [r.body for r in files.read_archive(spark, "discord", str(chat)).collect()] == ["[2024-01-02 03:04 G/#c @a]: hi"]
+    (tmp_path / "m.mbox").write_text("From x\nSubject: S\nFrom: a@b\nMessage-ID: <1@x>\n\nhello\n")
+    assert files.read_archive(spark, "mbox", str(tmp_path / "m.mbox")).first().record_id == "mbox:1@x"
+    (tmp_path / "w.txt").write_text("orphan\n31/12/22, 15:02 - Bob: one\ntwo\n31/12/22, 15:03 - joined\n")
+    got = files.read_whatsapp(spark, str(tmp_path / "w.txt")).collect()
+    assert [(r.sender, r.text) for r in got] == [("Bob", "one\ntwo")]
+
+
+def test_chunkers():
+    assert paragraphs_to_chunks("") == [] and len(paragraphs_to_chunks("a" * 10000)) == 1
+    parts = paragraphs_to_chunks("\n\n".join("p" * 1200 for _ in range(4)))
+    assert len(parts) == 4 and parts[-1][2] == 4 * 1200 + 6
+    body = "[head]\n" + "\n\n".join("x" * 400 for _ in range(4))
+    pieces = record_to_chunks(body, 120)
+    assert len(pieces) > 1 and all(p.startswith("[head]\n") for p in pieces)
+    assert record_to_chunks("short") == ["short"] and record_to_chunks(None) == []
+    assert "".join(p for p in record_to_chunks("é" * 3000, 50)) == "é" * 3000
