@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,49 +44,122 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 4))
 
 
-def link_score(seconds: Column, mentions: Column, shared: Column, words: Column) -> Column:
-    """Likelihood score of a reply link: nearness in time, a mention of the author, shared words."""
-    near = F.exp(-F.greatest(seconds, F.lit(0.0)) / TAU_SECONDS)
-    return WEIGHTS["time"] * near + WEIGHTS["mention"] * mentions.cast("double") + WEIGHTS["overlap"] * shared / F.greatest(words, F.lit(1))
+def link_score(seconds: np.ndarray, mentions: int, shared: np.ndarray, words: int) -> np.ndarray:
+    """Likelihood score of reply links: nearness in time, a mention of the author, shared words."""
+    near = np.exp(-np.maximum(seconds, 0.0) / TAU_SECONDS)
+    return WEIGHTS["time"] * near + WEIGHTS["mention"] * mentions + WEIGHTS["overlap"] * shared / max(words, 1)
 
 
-def candidate_links(messages: DataFrame, horizon_seconds: int = 1800) -> DataFrame:
+def _mentioned(text: str, authors: dict[str, np.ndarray], lengths: list[int]) -> list[np.ndarray]:
+    """The messages of each author whom the text names with an @ before the name."""
+    named = {text[at : at + n] for at in (m.end() for m in re.finditer("@", text)) for n in lengths}
+    return [authors[a] for a in named if a in authors]
+
+
+def _best_parents(rows: pa.Table) -> pa.Table:
+    """msg, score, at, parent: the likeliest parent among one block of a channel of each message of another.
+
+    Rows: the columns of `_PAIR`; those of block `theirs` are offered to those of block
+    `mine`. Offers are counted through the postings of the words, whatever their distance.
+    """
+    rows = rows.sort_by("rank")
+    block, mine, theirs = rows["block"].to_numpy(), rows["mine"][0].as_py(), rows["theirs"][0].as_py()
+    asks, offers = rows.filter(pa.array(block == mine)), rows.filter(pa.array(block == theirs))
+    n, same = offers.num_rows, mine == theirs
+    out: list[tuple[int, float, int]] = []  # (asking row, score, offered row)
+    if n and asks.num_rows:
+        at, asked_at = offers["at"].to_numpy(), asks["at"].to_numpy()
+        lists, asked = offers["words"].combine_chunks(), asks["words"].combine_chunks()
+        vocabulary, ids = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        order = np.argsort(ids, kind="stable")
+        postings = np.repeat(np.arange(n), lists.value_lengths().to_numpy())[order]
+        starts = np.searchsorted(ids[order], np.arange(len(vocabulary) + 1))
+        words = asked.flatten().to_numpy()
+        bounds = np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy())])
+        found = np.searchsorted(vocabulary, words)
+        found[found == len(vocabulary)] = 0
+        hit = vocabulary[found] == words if len(vocabulary) else np.zeros(len(words), bool)
+        if same:  # only what stands before a row: the part of a posting list before its own place
+            ends = np.empty(len(ids), np.int64)
+            ends[order] = np.arange(len(ids))
+        else:
+            ends = starts[np.minimum(found + 1, len(starts) - 1)]
+        authors: dict[str, list[int]] = {}
+        for i, name in enumerate(offers["author"].to_pylist()):
+            if name is not None and len(name) > 2:
+                authors.setdefault(name, []).append(i)
+        theirs_of = {a: np.array(i) for a, i in authors.items()}
+        lengths = sorted({len(a) for a in authors})
+        texts = asks["named"].to_pylist()
+        close = np.searchsorted(at, asked_at - FAR_SECONDS)
+        for k in range(asks.num_rows):
+            limit = k if same else n
+            if not limit:
+                continue
+            lo, hi = bounds[k], bounds[k + 1]
+            lists_k = [postings[starts[v] : e] for v, e, h in zip(found[lo:hi], ends[lo:hi], hit[lo:hi]) if h]
+            shared = np.bincount(np.concatenate(lists_k), minlength=limit) if lists_k else np.zeros(limit, np.int64)
+            tops: list[tuple[float, int]] = []
+
+            def best_of(places: np.ndarray, mentions: int) -> None:
+                scores = link_score(asked_at[k] - at[places], mentions, shared[places], hi - lo)
+                last = len(places) - 1 - int(scores[::-1].argmax())
+                tops.append((float(scores[last]), int(places[last])))
+
+            first = min(int(close[k]), limit)
+            if first and lists_k:  # far away the words decide, of equally many shared the latest
+                best_of(np.array([first - 1 - int(shared[:first][::-1].argmax())]), 0)
+            if first < limit:
+                best_of(np.arange(first, limit), 0)
+            for places in _mentioned(texts[k], theirs_of, lengths) if texts[k] else ():
+                if len(places := places[places < limit]):
+                    best_of(places, 1)
+            if tops and max(tops)[0] >= THRESHOLD:
+                out.append((k, *max(tops)))
+    mine_at, theirs_at = pa.array([k for k, _, _ in out], pa.int64()), pa.array([p for _, _, p in out], pa.int64())
+    columns = [asks["msg"].take(mine_at), pa.array([s for _, s, _ in out], pa.float64()), offers["at"].take(theirs_at), offers["msg"].take(theirs_at)]
+    return pa.table(columns, names=["msg", "score", "at", "parent"])
+
+
+def candidate_links(messages: DataFrame) -> DataFrame:
     """The likeliest parent of each message of interleaved channels.
 
-    messages: msg, channel, at (seconds, double), author, text. A reply's candidates are
-    the messages of its channel within the horizon before it, which is part of the
-    definition of a reply. Each candidate is scored by time, by a mention of its author
-    and by shared words; the best becomes the parent if it scores at least THRESHOLD,
-    else the message begins a thread. Channels are cut into slices of one horizon; each
-    slice also sees the one before it, so a busy channel is spread over its slices.
+    messages: msg (unique), channel, at (seconds, double), author, text. A reply's
+    candidates are all messages of its channel before it, at any distance. Each is scored
+    by time, by a mention of its author and by shared words; the best, of equals the
+    latest, becomes the parent if it scores at least THRESHOLD, else the message begins a
+    thread. Channels are cut into blocks of BLOCK messages, and each block meets itself
+    and each earlier one in a task of its own. The work grows with the square of a
+    channel's length, as its messages share words; words are compared by 64-bit hashes.
     Result: msg, channel, at, author, parent (null for a beginning), score.
 
     Messages with null time, text or author are kept: no time means a thread of its own.
     """
     m = messages.select("msg", F.coalesce("channel", F.lit("")).alias("channel"), "at", "author", F.coalesce("text", F.lit("")).alias("text"))
-    m = m.withColumn("words", words_of(F.col("text"))).withColumn("slice", F.floor(F.col("at") / horizon_seconds))
-    # A message stands in its own slice and, as a candidate only, in the next one.
-    timed = m.where(F.col("at").isNotNull())
-    both = timed.withColumn("ahead", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("slice", F.col("slice") + F.col("ahead"))
-    w = Window.partitionBy("channel", "slice").orderBy("at").rangeBetween(-horizon_seconds, Window.currentRow)
-    seen = F.collect_list(F.struct("msg", "at", "author", "words")).over(w)
-    own = both.withColumn("seen", seen).where("ahead = 0")
-    earlier = F.filter("seen", lambda c: (c["at"] < F.col("at")) | ((c["at"] == F.col("at")) & (c["msg"] < F.col("msg"))))
-    named = lambda c: (F.length(c["author"]) > 2) & F.col("text").contains(F.concat(F.lit("@"), c["author"]))
-    scored = F.transform(
-        earlier,
-        lambda c: F.struct(
-            link_score(F.col("at") - c["at"], F.coalesce(named(c), F.lit(False)), F.size(F.array_intersect(F.col("words"), c["words"])), F.size("words")).alias("score"),
-            c["at"].alias("at"), c["msg"].alias("parent"),
-        ),
+    timed = m.where(F.col("at").isNotNull()).select(
+        "msg", "channel", "at", "author", F.when(F.col("text").contains("@"), F.col("text")).alias("named"),
+        F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("words"),
     )
-    best = own.withColumn("best", F.array_max(scored))
-    good = F.coalesce(F.col("best.score") >= THRESHOLD, F.lit(False))
-    linked = best.select("msg", "channel", "at", "author", F.when(good, F.col("best.parent")).alias("parent"), F.when(good, F.col("best.score")).alias("score"))
-    untimed = m.where(F.col("at").isNull()).select("msg", "channel", "at", "author", F.lit(None).cast(linked.schema["parent"].dataType).alias("parent"), F.lit(None).cast("double").alias("score"))
-    return linked.unionByName(untimed)
-
-
+    ranked = split_rank(timed, ["channel"], [F.col("at"), F.col("msg")], F.floor(F.col("at") / 86_400), "rank")
+    ranked = cut_lineage(ranked.withColumn("block", F.floor(F.col("rank") / BLOCK)), "ranked")
+    blocks = ranked.groupBy("channel").agg(F.max("block").alias("last"))
+    pairs = ranked.join(F.broadcast(blocks), "channel") if blocks.count() <= BROADCAST_CHANNELS else ranked.join(blocks, "channel")
+    earlier = F.transform(F.sequence(F.lit(0), F.col("block")), lambda b: F.struct(F.col("block").alias("mine"), b.cast("long").alias("theirs")))
+    later = F.transform(F.sequence(F.col("block"), F.col("last")), lambda b: F.struct(b.alias("mine"), F.col("block").alias("theirs")))
+    pairs = pairs.select(*_PAIR, F.inline(F.array_union(earlier, later)))
+    kind = ranked.schema["msg"].dataType.simpleString()
+    tops = pairs.groupBy("channel", "mine", "theirs").applyInArrow(_best_parents, f"msg {kind}, score double, at double, parent {kind}")
+    best = tops.groupBy("msg").agg(F.max(F.struct("score", "at", "parent")).alias("best"))
+    linked = m.join(best, "msg", "left")
+    return linked.select("msg", "channel", "at", "author", F.col("best.parent").alias("parent"), F.col("best.score").alias("score"))
+
+
+_PAIR = ["msg", "channel", "at", "author", "named", "words", "rank", "block"]
+#: Messages of a channel that one task holds against as many others.
+BLOCK = 1 << 15
+BROADCAST_CHANNELS = 100_000
+#: From here on the time term (below 1e-15) is less than any difference in shared words.
+FAR_SECONDS = 36 * TAU_SECONDS
 #: A link needs this score: close in time, or fairly close with a mention or shared words.
 THRESHOLD = 0.6
 

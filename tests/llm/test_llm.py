@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +149,38 @@ def test_threads_of_interleaved_messages(spark):
     assert got[3] == 1 and got[1] is None and got[4] is None and got[5] is None and len(got) == 5
 
 
+def best_links(rows):
+    """Each message against all before it, one by one."""
+    out = {}
+    words = lambda t: {w for w in re.split(r"[^\w]+", (t or "").lower()) if len(w) >= 4}
+    for msg, channel, at, _, text in rows:
+        tops = []
+        for m2, c2, at2, a2, t2 in rows:
+            if None not in (at, at2) and c2 == channel and (at2, m2) < (at, msg):
+                named = a2 is not None and len(a2) > 2 and f"@{a2}" in (text or "")
+                score = math.exp(-(at - at2) / 300) + 0.8 * named + 1.2 * len(words(text) & words(t2)) / max(1, len(words(text)))
+                tops.append((score, at2, m2))
+        out[msg] = max(tops)[2] if tops and max(tops)[0] >= 0.6 else None
+    return out
+
+
+def test_threads_link_at_any_distance(spark, monkeypatch):
+    schema = "msg long, channel string, at double, author string, text string"
+    rows = [(1, "c", 0.0, "anna", "where is the zephyr ledger"), (2, "c", 1.0, "anna", "lunch"), (3, "c", 1e6, "bob", "zephyr ledger moved"), (4, "c", 2e6, "eve", "@anna done"), (5, "c", 3e6, "eve", "@anna the ledger"), (6, "d", 3e6, "eve", "zephyr ledger")]
+    links = lambda rows: {r.msg: r.parent for r in threads.candidate_links(spark.createDataFrame(rows, schema)).collect()}
+    assert links(rows) == best_links(rows) == {1: None, 2: 1, 3: 1, 4: 2, 5: 1, 6: None}
+    r = random.Random(5)
+    vocabulary, authors = [f"word{i}" for i in range(60)], ["anna", "ann", "bob@x", "al", None]
+    rows = []
+    for k in range(400):
+        text = " ".join(r.choices(vocabulary, k=r.randrange(7))) + (f" @{r.choice(authors)}!" if r.random() < 0.2 else "")
+        rows.append((k, r.choice("cd"), float(r.randrange(0, 400_000, 60)) if r.random() < 0.95 else None, r.choice(authors), text if r.random() < 0.95 else None))
+    want = best_links(rows)
+    assert links(rows) == want
+    monkeypatch.setattr(threads, "BLOCK", 50)
+    assert links(rows) == want
+
+
 def test_toxicity_learns_from_documents(spark):
     r = random.Random(0)
     calm = ["the build of {} failed again", "please review folder {}", "this stupid script {} died", "no insults here says rule {}"]
