@@ -64,6 +64,25 @@ def test_dedup_batch_by_batch_equals_brute_force(spark):
     assert {r.dup_key: r.kept_key for r in bulk} == want
 
 
+def test_dedup_keeps_the_nearest_in_one_append_as_in_several(spark):
+    v1 = message(7, 100).split()
+    v2 = [f"x{i}" if i % 5 == 0 or i == 1 else w for i, w in enumerate(v1)]
+    v3 = [v1[i] if i in (0, 25, 50, 75) else w for i, w in enumerate(v2)]
+    rows = [(k + 1, None, " ".join(v), k) for k, v in enumerate((v1, v2, v3))]
+    r = random.Random(11)
+    for family in range(12):
+        made = [message(500 + family)]
+        for k in range(12):
+            made.append(changed(r.choice(made), 100 * family + k, r.choice((0.05, 0.12, 0.2))))
+        rows += [(100 * (family + 1) + k, None, text, k % 3) for k, text in enumerate(made)]
+    df = spark.createDataFrame(rows, RECORDS)
+    want = brute(rows)
+    assert want[3] == 2
+    by_batch = VectorCells(spark, scratch(spark, "t"))
+    assert {r.dup_key: r.kept_key for b in range(3) for r in by_batch.append(df.where(F.col("batch_id") == b)).collect()} == want
+    assert {r.dup_key: r.kept_key for r in VectorCells(spark, scratch(spark, "t")).append(df).collect()} == want
+
+
 def test_dedup_of_an_empty_table(spark):
     assert VectorCells(spark, scratch(spark, "t")).append(spark.createDataFrame([], RECORDS)).count() == 0
 
