@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,8 +80,65 @@ def _runs(doc: list, own: list) -> list[tuple[int, int, int]]:
 def holds_passage(doc: list, own: list) -> bool:
     """Whether doc holds a stretch of more than 1/SHARE of own with at most 1/EDITS edits.
 
-    The runs that both share are chained in order; the words between two chained runs are
-    edits, as many as the longer gap has. All chains are compared, by their fewest edits.
+    Chains of shared runs decide most pairs at once. They count clean words between close
+    edits as edits, so what they reject is held against the exact edit distance.
+    """
+    return _chained(doc, own) or _edited(doc, own)
+
+
+def _edited(doc: list, own: list) -> bool:
+    """The exact answer of holds_passage for stretches with an edit, by pieces of doc.
+
+    A stretch spans fewer words of doc than `reach`, so it lies within one of the pieces.
+    """
+    if len(own) < EDITS:  # no stretch may have an edit
+        return False
+    codes: dict[str, int] = {}
+    mine = np.array([codes.setdefault(w, len(codes)) for w in own])
+    theirs = np.array([codes.get(w, -1) for w in doc])
+    reach = len(own) + len(own) // EDITS + 1
+    return any(_stretch(theirs[s : s + 2 * reach], mine) for s in range(0, max(1, len(doc) - reach), reach))
+
+
+def _stretch(doc: np.ndarray, own: np.ndarray) -> bool:
+    """Whether own words from some start to some end stand in doc, by edit distance.
+
+    The first and the last word of a stretch stand alike in both. Only starts and ends are tried whose words, pairs and triples are not too often
+    missing in doc: an edit spoils one word, two pairs and three triples at most.
+    """
+    n, m = len(own), len(doc)
+    a, b = np.arange(n)[:, None], np.arange(n + 1)[None, :]
+    length = b - a
+    allowed = length // EDITS
+    fits = length * SHARE > n
+    for q in (1, 2, 3):
+        held = set(zip(*(doc[k : m - q + 1 + k].tolist() for k in range(q))))
+        missing = [g not in held for g in zip(*(own[k : n - q + 1 + k].tolist() for k in range(q)))]
+        sums = np.concatenate([[0], np.cumsum(missing)])
+        fits &= sums[np.clip(b - q + 1, 0, len(sums) - 1)] - sums[np.minimum(a, len(sums) - 1)] <= q * allowed
+    starts = np.flatnonzero(fits.any(axis=1))
+    if not len(starts):
+        return False
+    at = np.arange(m + 1)
+    edits = np.full((len(starts), m + 1), n + m)  # of own from the start to here, ending at each place of doc
+    for i in range(starts[0], np.flatnonzero(fits.any(axis=0))[-1]):
+        same = doc == own[i]
+        k = np.searchsorted(starts, i)
+        if (fits[starts[:k], i + 1] & (edits[:k, :-1][:, same].min(axis=1, initial=n + m) <= allowed[starts[:k], i + 1])).any():
+            return True
+        new = edits[: k + 1] + 1
+        new[:, 1:] = np.minimum(new[:, 1:], edits[: k + 1, :-1] + ~same)
+        if k < len(starts) and starts[k] == i:
+            new[k] = np.concatenate([[n + m], np.where(same, 0, n + m)])
+        edits[: k + 1] = np.minimum.accumulate(new - at, axis=1) + at
+    return False
+
+
+def _chained(doc: list, own: list) -> bool:
+    """holds_passage by the runs that both share, chained in order.
+
+    The words between two chained runs are edits, as many as the longer gap has. All
+    chains are compared, by their fewest edits.
     """
     runs = _runs(doc, own)
     enough = len(own) / SHARE

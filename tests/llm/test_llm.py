@@ -113,6 +113,47 @@ def test_leaks(spark):
     assert sorted((r.doc_id, r.item_id) for r in leaks.leaks(docs, items).collect()) == [(0, 1), (1, 1), (2, 1)]
 
 
+def edited_passage(doc, own):
+    """Every stretch of own between two words that stand alike, by its edit distance to any part of doc."""
+    for a in range(len(own)):
+        row = None
+        for b in range(a, len(own)):
+            alike = [w == own[b] for w in doc]
+            ends = [row[j] for j, same in enumerate(alike) if same] if row else []
+            if ends and (b + 1 - a) * 3 > len(own) and min(ends) * 10 <= b + 1 - a:
+                return True
+            new = [row[0] + 1 if row else 999]
+            for j, same in enumerate(alike):
+                new.append(min(row[j] + (not same), row[j + 1] + 1, new[j] + 1) if row else min(0 if same else 999, new[j] + 1))
+            row = new
+    return False
+
+
+def test_leaks_with_edits_close_together(spark):
+    own = [f"w{i}" for i in range(100)]
+    close, many = own[20:60], own[20:60]
+    for k in (10, 12, 25, 27):
+        close[k] = "other"
+    for k in (5, 12, 20, 28, 35):
+        many[k] = "other"
+    around = [f"n{i}" for i in range(300)]
+    docs = spark.createDataFrame([(k, " ".join(around + t + around)) for k, t in enumerate((close, many))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(own))], "item_id long, text string")
+    assert [tuple(r) for r in leaks.leaks(docs, items).collect()] == [(0, 1)]
+    r, seen = random.Random(2), []
+    for _ in range(120):
+        own = [f"w{r.randrange(60)}" for _ in range(r.randrange(9, 45))]
+        start = r.randrange(len(own) // 2)
+        part = own[start : start + r.randrange(len(own) // 3, len(own))]
+        for _ in range(r.randrange(1 + len(part) // 4)):
+            k = r.randrange(len(part) or 1)
+            part[k : k + r.randrange(2)] = [f"e{r.randrange(9)}"] * r.randrange(2)
+        doc = [f"n{i}" for i in range(r.randrange(60))] + part + ["n"] * r.randrange(20)
+        seen.append(edited_passage(doc, own))
+        assert leaks.holds_passage(doc, own) == seen[-1]
+    assert 20 < sum(seen) < 100
+
+
 NAMES = Names(["Anna Jorvold", "Otto Jorwick", "Rosa Jordahl", "Hugo Jorette", "Anna Belvold", "Otto Belwick", "Rosa Beldahl", "Hugo Belette"])
 
 
