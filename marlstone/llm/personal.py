@@ -25,7 +25,7 @@ _INVISIBLE = "[­​-‏⁠-⁤﻿]"
 _ENTITY = r"&(?:#\d{1,6}|#x[0-9a-fA-F]{1,5}|[a-zA-Z]{2,8});"
 _SHIFTS = re.compile(f"{_INVISIBLE}|{_ENTITY}")
 _DIGIT_WORDS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
-_DIGIT_RUN = re.compile(rf"\b(?:{'|'.join(_DIGIT_WORDS)})(?:[ -](?:{'|'.join(_DIGIT_WORDS)})){{5,}}\b", re.IGNORECASE)
+_DIGIT_RUN = re.compile(rf"\b(?ai:(?:{'|'.join(_DIGIT_WORDS)})(?:[ -](?:{'|'.join(_DIGIT_WORDS)})){{5,}})\b")
 
 
 def _one_to_one() -> dict[int, str]:
@@ -53,7 +53,8 @@ def normalise(text: str) -> tuple[str, list[int] | None]:
     """
     if not text.isascii():
         text = text.translate(_SAME_LENGTH)
-    spelled = any(w in text for w in ("zero", "seven", "eight", "Zero", "Seven", "Eight")) and _DIGIT_RUN.search(text)
+    small = text.lower()
+    spelled = sum(map(small.count, _DIGIT_WORDS)) >= 6 and _DIGIT_RUN.search(text)  # a run has six words at least
     if not spelled and ("&" not in text and text.isascii() or not _SHIFTS.search(text)):
         return text, None
     out: list[str] = []

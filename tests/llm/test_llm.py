@@ -167,6 +167,7 @@ NAMES = Names(["Anna Jorvold", "Otto Jorwick", "Rosa Jordahl", "Hugo Jorette", "
         ("Passport QQ 12 34 56 A, tax id 938-78-9328, 00005360-G, 008599-7527", [("idnum", "QQ 12 34 56 A"), ("idnum", "938-78-9328"), ("idnum", "00005360-G"), ("idnum", "008599-7527")]),
         ("at 12 East Heron St, Apt 4, Ostermoor or C/ Olmo, 5, 2º A or Lindenstr. 7b or 5 bis, rue du Moulin.", [("address", "12 East Heron St, Apt 4"), ("address", "C/ Olmo, 5, 2º A"), ("address", "Lindenstr. 7b"), ("address", "5 bis, rue du Moulin")]),
         ("Dr. Anna Jorvold, Belwick, Otto and R. Jordahl", [("name", "Anna Jorvold"), ("name", "Belwick, Otto"), ("name", "R. Jordahl")]),
+        ("call +one five five one two three four six one two or ZERO SEVEN-SEVEN ZERO ZERO NINE ZERO ZERO ONE THREE EIGHT, nine", [("phone", "+one five five one two three four six one two"), ("phone", "ZERO SEVEN-SEVEN ZERO ZERO NINE ZERO ZERO ONE THREE EIGHT")]),
         ("git@code.example:tools, order 9800-1127-5, 10.0.0.17, version 4.12.0, @anna12, Amber Falcon, Anna said", []),
         ("", []),
         (None, []),
