@@ -15,9 +15,8 @@ from pyspark.sql import types as T
 from marlstone.operators.ranking import split_rank
 from marlstone.session import cut_lineage, scratch
 
-#: Weights of the evidence for a reply link. A stated place outweighs a stated parent, and
-#: either outweighs all that time, mentions and words can add up to.
-WEIGHTS = {"index": 8.0, "parent": 4.0, "time": 1.0, "mention": 0.8, "overlap": 1.2}
+#: Weights of the evidence for a scored reply link (`candidate_links`).
+WEIGHTS = {"time": 1.0, "mention": 0.8, "overlap": 1.2}
 TAU_SECONDS = 300.0
 _BLANKS = "[\\s\\u0000-\\u0020\\u00a0\\u1680\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff\\u00ad]+"
 

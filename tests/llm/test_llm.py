@@ -210,6 +210,10 @@ def test_threads_of_interleaved_messages(spark):
     assert got[3] == 1 and got[1] is None and got[4] is None and got[5] is None and len(got) == 5
 
 
+def test_weights_name_the_evidence_that_is_scored():
+    assert sorted(threads.WEIGHTS) == ["mention", "overlap", "time"]
+
+
 def best_links(rows):
     """Each message against all before it, one by one."""
     out = {}
