@@ -38,6 +38,33 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the function that makes its path objects."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+class Scratch:
+    """Stages of one computation, in one folder of the shared folder, removed at its end."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.path, self.stages = spark, scratch(spark, label), 0
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """Write df and read it again, as cut_lineage() does."""
+        self.stages += 1
+        path = f"{self.path}/{self.stages}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        fs, at = file_system(self.spark, self.path)
+        fs.delete(at(self.path), True)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
