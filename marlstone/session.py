@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Stages are packed well, in small row groups, so that the next reader can split them.
+STAGE = {"compression": "zstd", "parquet.block.size": str(16 << 20)}
+
+
 def file_system(spark: SparkSession, path: str) -> tuple:
     """The Hadoop file system of a path, and the function that makes its path objects."""
     at = spark._jvm.org.apache.hadoop.fs.Path
@@ -54,7 +59,7 @@ class Scratch:
         """Write df and read it again, as cut_lineage() does."""
         self.stages += 1
         path = f"{self.path}/{self.stages}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(**STAGE).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __enter__(self) -> Scratch:
@@ -63,6 +68,9 @@ class Scratch:
     def __exit__(self, *error) -> None:
         fs, at = file_system(self.spark, self.path)
         fs.delete(at(self.path), True)
+        # Spark drops the shuffle files of a plan once the driver has collected its objects.
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -78,5 +86,5 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**STAGE).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
