@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from marlstone.functions import timestamps as ts
 from marlstone.session import cut_lineage
 
-FIRST_YEAR, LAST_YEAR, STEP_DAYS = 1970, 2100, 7
+#: No zone changes its offset before the first year, and all repeat theirs every CYCLE years
+#: from the last rule on, as the calendar does: so each wall time has one of the same offset
+#: within these years. Offsets are worked out for those of them that the data has.
+FIRST_YEAR, LAST_RULE, CYCLE, STEP_DAYS = 1800, 2038, 400, 7
+CYCLE_MICROS, SALTS = 146_097 * 86_400_000_000, 16
 _INTERVALS = "zone string, starts long, ends long, offset int"
 
 
@@ -21,19 +25,23 @@ def _offset(zone: ZoneInfo, second: int) -> int:
     return int(datetime.fromtimestamp(second, timezone.utc).astimezone(zone).utcoffset().total_seconds())
 
 
+def _begins(year: int) -> int:
+    return int(datetime(year, 1, 1, tzinfo=timezone.utc).timestamp())
+
+
 def _zone_intervals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row per span of UTC seconds during which a zone keeps one offset."""
-    lo = int(datetime(FIRST_YEAR, 1, 1, tzinfo=timezone.utc).timestamp())
-    hi = int(datetime(LAST_YEAR, 1, 1, tzinfo=timezone.utc).timestamp())
     step = int(timedelta(days=STEP_DAYS).total_seconds())
     for frame in frames:
         rows = []
-        for name in frame["zone"]:
+        for name, first, last in zip(frame["zone"], frame["first"], frame["last"]):
             try:
                 zone = ZoneInfo(name)
             except Exception:  # no such zone: its stamps count as UTC
                 continue
-            begun, at, off = lo, lo, _offset(zone, lo)
+            lo, hi = _begins(int(first) - 1), _begins(int(last) + 2)
+            at, off = lo, _offset(zone, lo)
+            begun = lo if first > FIRST_YEAR else _EVER
             while at < hi:
                 to = min(at + step, hi)
                 if (new := _offset(zone, to)) != off:
@@ -49,16 +57,20 @@ def _zone_intervals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["zone", "starts", "ends", "offset"])
 
 
+_EVER = -(10**12)  # seconds, long before any year
+
+
 def zone_offsets(zones: DataFrame) -> DataFrame:
-    """Offset intervals of the zones in column `zone`, exploded to one row per local year.
+    """Offset intervals of zones (zone, first, last: its years), exploded to one row per local year.
 
     Columns zone, year and spans, an array of (starts, ends, covers, offset) in
     microseconds of local time. `covers` is the start of the next interval where local
     time skips ahead, else `ends`: a skipped wall time falls between the two. There are
-    as many rows as zones times years at most, whatever the size of the data: the IANA
-    list has about 600 zones, so the table stays below 80 000 rows of about 100 bytes.
+    as many rows as zones times their years, whatever the size of the data: the IANA list
+    has about 600 zones, and no year lies beyond FIRST_YEAR and LAST_RULE + CYCLE, so the
+    table stays below 400 000 rows of about 100 bytes.
     """
-    raw = zones.select("zone").where(F.col("zone").isNotNull()).distinct().mapInPandas(_zone_intervals, _INTERVALS)
+    raw = zones.select("zone", "first", "last").where(F.col("zone").isNotNull()).mapInPandas(_zone_intervals, _INTERVALS)
     w = Window.partitionBy("zone").orderBy("starts")
     local = raw.select("zone", "offset", (F.col("starts") + F.col("offset")).alias("ls"), (F.col("ends") + F.col("offset")).alias("le"), "starts").withColumn(
         "next", F.lead("ls").over(w)
@@ -67,7 +79,7 @@ def zone_offsets(zones: DataFrame) -> DataFrame:
     year = lambda c: F.year(F.timestamp_seconds(c))
     return (
         local.select("zone", "offset", "ls", "le", covers.alias("cov"))
-        .withColumn("year", F.explode(F.sequence(year(F.col("ls") - 172800), year(F.col("cov") + 172800))))
+        .withColumn("year", F.explode(F.sequence(F.greatest(F.lit(FIRST_YEAR), year(F.col("ls") - 172800)), F.greatest(F.lit(FIRST_YEAR), year(F.col("cov") + 172800)))))
         .groupBy("zone", "year")
         .agg(
             F.sort_array(
@@ -88,12 +100,13 @@ def resolve_wall_times(stamps: DataFrame) -> DataFrame:
     taken, none makes it 'nonexistent' and it moves forward by the gap. Without a known
     zone it counts as UTC ('utc'). Null wall times stay null.
     """
-    zones = stamps.where(F.col("offset_s").isNull() & F.col("zone").isNotNull()).select("zone").distinct()
-    spans = zone_offsets(zones)
-    wall = F.col("wall_micros")
     need = F.when(F.col("offset_s").isNull(), F.col("zone"))
-    local_year = F.year(F.timestamp_micros(wall))
-    keyed = stamps.withColumn("_z", need).withColumn("_y", local_year)
+    year = F.year(F.timestamp_micros("wall_micros"))
+    cycles = F.greatest(F.lit(0), F.floor((year - LAST_RULE) / CYCLE)).cast("long")
+    keyed = stamps.withColumn("_z", need).withColumn("_y", F.greatest(F.lit(FIRST_YEAR), year - cycles.cast("int") * CYCLE)).withColumn("_moved", cycles * CYCLE_MICROS)
+    zones = keyed.where("_z IS NOT NULL AND _y IS NOT NULL").groupBy(F.col("_z").alias("zone")).agg(F.min("_y").alias("first"), F.max("_y").alias("last"))
+    spans = zone_offsets(zones)
+    wall = F.col("wall_micros") - F.col("_moved")
     # At most zones x years rows (see zone_offsets), so this side may be broadcast.
     joined = keyed.join(
         F.broadcast(spans.select(F.col("zone").alias("_z"), F.col("year").alias("_y"), "spans")), ["_z", "_y"], "left"
@@ -107,7 +120,7 @@ def resolve_wall_times(stamps: DataFrame) -> DataFrame:
         .when(F.size("_inside") > 0, instant(F.col("_inside")))
         .when(F.size("_hits") > 0, instant(F.col("_hits")))
         .otherwise(wall)
-    )
+    ) + F.col("_moved")
     case = (
         F.when(F.col("offset_s").isNotNull(), "stated")
         .when(F.size("_inside") > 1, "ambiguous")
@@ -115,7 +128,7 @@ def resolve_wall_times(stamps: DataFrame) -> DataFrame:
         .when(F.size("_hits") > 0, "nonexistent")
         .otherwise("utc")
     )
-    return joined.withColumn("utc_micros", utc).withColumn("zone_case", F.when(wall.isNotNull(), case)).drop("_z", "_y", "spans", "_hits", "_inside")
+    return joined.withColumn("utc_micros", utc).withColumn("zone_case", F.when(wall.isNotNull(), case)).drop("_z", "_y", "_moved", "spans", "_hits", "_inside")
 
 
 def _orders_by_group(parsed: DataFrame) -> DataFrame:
@@ -161,9 +174,9 @@ def normalise_stamps(df: DataFrame, stamp: str, zone: str, group: Column | None
                    ts.month_text(field(1)).alias("_a"), ts.month_text(field(2)).alias("_b"))
     day = lambda month, of: F.col("_clock") + 86_400_000_000 * ts.day_number(F.col("_year"), F.col(month), F.col(of)).cast("long")
     df = df.withColumn("_mdy", day("_a", "_b")).withColumn("_dmy", F.when(F.col("_open"), day("_b", "_a")))
-    # Rows without a group match nothing; the salt keeps their null keys from one partition.
-    spread = F.when(F.col("_group").isNull(), F.pmod(F.xxhash64("_text"), F.lit(997))).otherwise(-1)
-    orders = _orders_by_group(df).withColumn("_salt", F.lit(-1).cast("bigint"))
+    # Salted, as one group may hold a large part of the rows, and so may those without one.
+    spread = F.pmod(F.xxhash64("_text"), F.when(F.col("_group").isNull(), F.lit(997)).otherwise(F.lit(SALTS)))
+    orders = _orders_by_group(df).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     df = df.withColumn("_salt", spread).join(orders, ["_group", "_salt"], "left")
     either = F.coalesce("_dmy", "_mdy")
     is_open = F.col("_open")

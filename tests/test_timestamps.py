@@ -57,3 +57,17 @@ def test_unreadable_null_and_empty(spark):
     rows = [(s, "UTC", None) for s in (None, "", "  ", "soon", "2023-02-30T10:00:00Z", "0000-00-00 00:00:00", "2022-13-05 08:00:00", "2024-01-01 24:00:00", "x" * 10000)]
     assert [r[0] for r in run(spark, rows)] == [None] * len(rows)
     assert run(spark, []) == []
+
+
+def test_years_far_from_now(spark):
+    rows = [("1965-07-01 12:00:00", "America/New_York", None), ("2150-07-01 12:00:00", "Asia/Tokyo", None), ("2150-07-01 12:00:00", "America/New_York", None),
+            ("9999-01-15 12:00:00", "Europe/Berlin", None), ("1750-01-01 12:00:00", "Europe/London", None), ("1883-11-18 12:30:00", "America/New_York", None)]
+    want = [(utc(1965, 7, 1, 16), "direct"), (utc(2150, 7, 1, 3), "direct"), (utc(2150, 7, 1, 16), "direct"), (utc(9999, 1, 15, 11), "direct"), (utc(1750, 1, 1, 12, 1, 15), "direct"), (utc(1883, 11, 18, 17, 30), "direct")]
+    assert run(spark, rows) == want
+
+
+def test_rows_of_one_group_and_rows_without_one(spark):
+    rows = [(f"{k % 12 + 1}/{k % 28 + 1}/24, 10:0{k % 10}", None, "hot") for k in range(200)] + [("3/4/24, 10:00", None, None)] * 50
+    got = run(spark, rows)
+    assert [r[0] for r in got[:200]] == [utc(2024, k % 12 + 1, k % 28 + 1, 10, k % 10) for k in range(200)]
+    assert {r[0] for r in got[200:]} == {utc(2024, 4, 3, 10)}
