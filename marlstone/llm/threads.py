@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 from marlstone.operators.ranking import split_rank
 from marlstone.session import cut_lineage, scratch
 
-#: Weights of the evidence for a scored reply link (`candidate_links`).
-WEIGHTS = {"time": 1.0, "mention": 0.8, "overlap": 1.2}
+#: Weights of the evidence for a reply link. What a message states, its place or its parent,
+#: outweighs all that is inferred, a place outweighs a parent.
+WEIGHTS = {"place": 16.0, "parent": 8.0, "time": 1.0, "mention": 0.8, "overlap": 1.2}
 TAU_SECONDS = 300.0
 _BLANKS = "[\\s\\u0000-\\u0020\\u00a0\\u1680\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff\\u00ad]+"
 
@@ -199,48 +200,77 @@ def latest_messages(rows: DataFrame) -> DataFrame:
     return rows.groupBy("conv", "msg").agg(newest).select("conv", "msg", *[f"top.{c}" for c in fields])
 
 
+def reply_links(messages: DataFrame) -> DataFrame:
+    """conv, msg, parent (null: it begins the conversation), score, kind, pos: the likeliest parent of each message.
+
+    messages: conv, msg, ref, parent, idx, at. Candidates are the message at the place
+    before, the stated parent, and the message before in time (of equal times that of the
+    smaller ref), each scored by WEIGHTS, nearness in time as in link_score(). A message
+    at place 0, without a parent where others state one, or first in time is a candidate
+    for a beginning by the same weight. Time only counts in conversations that state
+    neither places nor parents: mentions and shared words weigh less than any statement,
+    and between two speakers they tell no earlier message from another, so that they are
+    left to candidate_links(). A message of whose candidates none exists has no row. kind
+    names the strongest evidence, pos is the place that follows from it, null for a parent.
+    """
+    evidence = messages.groupBy("conv").agg(F.count("idx").alias("n_idx"), F.count("parent").alias("n_parent"))
+    stated = cut_lineage(evidence.where("n_idx > 0 OR n_parent > 0"), "stated")
+    candidate = lambda rows, kind, parent, score, pos: rows.select("conv", "msg", F.struct(score.alias("score"), parent.alias("parent"), F.lit(kind).alias("kind"), pos.cast("long").alias("pos")).alias("c"))
+    none = F.lit(None).cast("string")
+    weight = lambda kind: F.lit(WEIGHTS[kind])
+
+    placed = messages.where("idx IS NOT NULL").select("conv", "msg", "idx")
+    before = placed.select("conv", (F.col("idx") + 1).alias("idx"), F.col("msg").alias("up"))
+    by_place = candidate(placed.join(before, ["conv", "idx"]), "place", F.col("up"), weight("place"), F.col("idx"))
+    at_start = candidate(placed.where("idx = 0"), "place", none, weight("place"), F.col("idx"))
+
+    some = messages.join(stated.where("n_parent > 0").select("conv", "n_idx"), "conv").select("conv", "msg", "parent", "n_idx")
+    names = some.select("conv", F.col("msg").alias("parent"))
+    by_parent = candidate(some.join(names, ["conv", "parent"]), "parent", F.col("parent"), weight("parent"), F.lit(None))
+    no_parent = candidate(some.where("parent IS NULL AND n_idx = 0"), "parent", none, weight("parent"), F.lit(None))
+
+    silent = messages.join(stated.select("conv"), "conv", "left_anti").select("conv", "msg", "ref", "at")
+    ranked = split_rank(silent, ["conv"], [F.col("at").asc_nulls_first(), F.col("ref")], F.floor(F.col("at") / 3_600_000_000), "rank")
+    ranked = cut_lineage(ranked.select("conv", "msg", "at", "rank"), "in-time")
+    earlier = ranked.select("conv", (F.col("rank") + 1).alias("rank"), F.col("msg").alias("up"), F.col("at").alias("at_up"))
+    seconds = (F.col("at") - F.coalesce("at_up", "at")) / 1e6
+    near = weight("time") * F.exp(-F.coalesce(seconds, F.lit(0.0)) / TAU_SECONDS)
+    by_time = candidate(ranked.join(earlier, ["conv", "rank"]), "time", F.col("up"), near, F.col("rank"))
+    first = candidate(ranked.where("rank = 0"), "time", none, weight("time"), F.col("rank"))
+
+    offers = at_start
+    for more in (by_place, by_parent, no_parent, by_time, first):
+        offers = offers.unionByName(more)
+    return offers.groupBy("conv", "msg").agg(F.max("c").alias("c")).select("conv", "msg", "c.parent", "c.score", "c.kind", "c.pos")
+
+
 def conversation_positions(messages: DataFrame) -> DataFrame:
     """conv, msg, ref, role, blank, pos of every conversation whose links form one chain.
 
-    messages: conv, msg, ref, parent, idx, role (null: unusable), blank, at. The evidence
-    for a reply link is the stated place (idx) where the conversation has any, else the
-    stated parent where it has any, else time: the likeliest parent of a message is then
-    the one before it, of equal times that of the smaller ref. Conversations are broken,
-    and left out, if a role is unusable, if the places are not 0, 1, 2 and so on, or if the
-    stated parents are no single chain from one root.
+    messages: conv, msg, ref, parent, idx, role (null: unusable), blank, at. The links are
+    those of reply_links(). Conversations are broken, and left out, if a role is unusable,
+    if they state some places but not 0, 1, 2 and so on (a link then has weaker evidence
+    than a place), or if the links are no single chain from one beginning.
     """
-    facts = messages.groupBy("conv").agg(
-        F.count("*").alias("n"),
-        F.count("idx").alias("n_idx"),
-        F.count("parent").alias("n_parent"),
-        F.count("role").alias("n_role"),
-        F.min("idx").alias("lo"),
-        F.max("idx").alias("hi"),
-        F.count_distinct("idx").alias("d_idx"),
-        F.count_distinct("parent").alias("d_parent"),
-    )
-    facts = facts.where(F.col("n_role") == F.col("n"))
-    by_place = facts.where((F.col("n_idx") == F.col("n")) & (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("d_idx") == F.col("n")))
-    # One root, and no parent with two children; the doubling below finds circles and gaps.
-    by_parent = facts.where((F.col("n_idx") == 0) & (F.col("n_parent") > 0) & (F.col("n_parent") == F.col("n") - 1) & (F.col("d_parent") == F.col("n_parent")))
-    by_time = facts.where((F.col("n_idx") == 0) & (F.col("n_parent") == 0))
+    links = cut_lineage(reply_links(messages), "links")
+    facts = messages.groupBy("conv").agg(F.count("*").alias("n"), F.count("role").alias("n_role"), F.count("idx").alias("n_idx"))
+    facts = facts.where("n_role = n AND (n_idx = 0 OR n_idx = n)")
+    # As many links as messages, one beginning, no parent with two replies. What is left
+    # to be excluded are circles beside the chain, which only stated parents can form.
+    shape = links.groupBy("conv").agg(F.count("*").alias("n_links"), F.count("parent").alias("n_parents"), F.count_distinct("parent").alias("d_parents"), F.min("kind").alias("least"), F.max("kind").alias("kind"), F.count("pos").alias("n_pos"), F.count_distinct("pos").alias("d_pos"))
+    whole = facts.join(shape, "conv").where("n_links = n AND n_parents = n - 1 AND d_parents = n_parents AND d_pos = n_pos AND kind = least AND (n_idx = 0 OR kind = 'place')")
+    whole = cut_lineage(whole.select("conv", "n", "kind"), "whole")
     fields = ["conv", "msg", "ref", "role", "blank"]
+    known = messages.select(*fields)
 
-    placed = messages.join(by_place.select("conv"), "conv").select(*fields, F.col("idx").cast("long").alias("pos"))
-    timed = messages.join(by_time.select("conv"), "conv")
-    timed = split_rank(timed, ["conv"], [F.col("at").asc_nulls_first(), F.col("ref")], F.floor(F.col("at") / 3_600_000_000), "pos").select(*fields, "pos")
-
-    chain = cut_lineage(messages.join(by_parent.select("conv", "n"), "conv"), "chains")
+    placed = links.where("pos IS NOT NULL").select("conv", "msg", "pos").join(whole.where("kind != 'parent'").select("conv"), "conv")
+    chain = cut_lineage(links.join(whole.where("kind = 'parent'").select("conv", "n"), "conv").select("conv", "n", F.col("msg").alias("node"), "parent"), "chains")
     longest = chain.agg(F.max("n")).first()[0] or 1
-    depths = tree_depths(chain.select("conv", F.col("msg").alias("node"), "parent"), ["conv"], longest)
-    whole = depths.groupBy("conv").agg(F.count("*").alias("reached"), F.max("depth").alias("deepest"))
-    kept = chain.select("conv", "n").distinct().join(whole, "conv").where((F.col("reached") == F.col("n")) & (F.col("deepest") == F.col("n") - 1))
-    chained = (
-        chain.join(kept.select("conv"), "conv")
-        .join(depths.select("conv", F.col("node").alias("msg"), F.col("depth").alias("pos")), ["conv", "msg"])
-        .select(*fields, "pos")
-    )
-    return placed.unionByName(timed).unionByName(chained)
+    depths = tree_depths(chain.drop("n"), ["conv"], longest)
+    reached = depths.groupBy("conv").agg(F.count("*").alias("reached"))
+    sound = chain.select("conv", "n").distinct().join(reached, "conv").where("reached = n").select("conv")
+    chained = depths.join(sound, "conv").select("conv", F.col("node").alias("msg"), F.col("depth").alias("pos"))
+    return placed.unionByName(chained).join(known, ["conv", "msg"]).select(*fields, "pos")
 
 
 def kept_turns(positions: DataFrame) -> DataFrame:

@@ -113,6 +113,15 @@ def test_leaks(spark):
     assert sorted((r.doc_id, r.item_id) for r in leaks.leaks(docs, items).collect()) == [(0, 1), (1, 1), (2, 1)]
 
 
+def test_leaks_of_short_and_repeated_items(spark):
+    twelve, sixty = " ".join(f"t{i}" for i in range(12)), " ".join(f"s{i}" for i in range(60))
+    items = [(1, "alpha bravo cobalt delta ember"), (2, twelve), (3, sixty), (4, sixty), (5, sixty), (6, "Answer it. Why is the sky blue at noon?"), (7, "Answer it. Where do rivers begin and end?"), (8, "Answer it. Who wrote the long letter?"), (9, ""), (10, None)]
+    texts = ["so Alpha, BRAVO cobalt delta ember it is", "see " + " ".join(twelve.split()[3:8]), "x " + sixty, "answer it please", "t1 t2 t3 t4 only", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("item_id", F.lit(0))
+    got = leaks.leaks(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(0, 1), (1, 2), (2, 3), (2, 4), (2, 5)]
+
+
 def edited_passage(doc, own):
     """Every stretch of own between two words that stand alike, by its edit distance to any part of doc."""
     for a in range(len(own)):
@@ -211,7 +220,15 @@ def test_threads_of_interleaved_messages(spark):
 
 
 def test_weights_name_the_evidence_that_is_scored():
-    assert sorted(threads.WEIGHTS) == ["mention", "overlap", "time"]
+    w = threads.WEIGHTS
+    assert w["place"] > w["parent"] + w["time"] + w["mention"] + w["overlap"] and w["parent"] > w["time"] + w["mention"] + w["overlap"]
+
+
+def test_reply_links_by_the_strongest_evidence(spark):
+    schema = "conv string, msg string, ref long, parent string, idx long, at long"
+    rows = [("a", "x", 1, None, 1, 0), ("a", "y", 2, "x", 0, 0), ("p", "x", 3, "y", None, 0), ("p", "y", 4, None, None, 9), ("p", "z", 5, "gone", None, 9), ("t", "x", 6, None, None, None), ("t", "y", 8, None, None, 5), ("t", "z", 7, None, None, 5)]
+    got = {(r.conv, r.msg): (r.parent, r.kind) for r in threads.reply_links(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {("a", "x"): ("y", "place"), ("a", "y"): (None, "place"), ("p", "x"): ("y", "parent"), ("p", "y"): (None, "parent"), ("t", "x"): (None, "time"), ("t", "z"): ("x", "time"), ("t", "y"): ("z", "time")}
 
 
 def best_links(rows):
