@@ -16,8 +16,9 @@ from marlstone.llm.message_text import LOOKALIKES
 from marlstone.tables import table
 
 KINDS = ("email", "phone", "idnum", "address", "name")
-#: People whose names teach given and family names, at most; the table of users is small.
-MAX_PEOPLE = 100_000
+#: Different names that teach given and family names, at most: they go to every task. More
+#: raise an error, none are left out.
+MOST_NAMES = 1_000_000
 
 # --- Normalising with the places kept ------------------------------------------------------
 
@@ -25,7 +26,14 @@ _INVISIBLE = "[­​-‏⁠-⁤﻿]"
 _ENTITY = r"&(?:#\d{1,6}|#x[0-9a-fA-F]{1,5}|[a-zA-Z]{2,8});"
 _SHIFTS = re.compile(f"{_INVISIBLE}|{_ENTITY}")
 _DIGIT_WORDS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
-_DIGIT_RUN = re.compile(rf"\b(?ai:(?:{'|'.join(_DIGIT_WORDS)})(?:[ -](?:{'|'.join(_DIGIT_WORDS)})){{5,}})\b")
+_DIGIT_RUN = re.compile(rf"\b(?ai:(?:{'|'.join(_DIGIT_WORDS)})(?:(?:[ -]| (?:dash|hyphen) )(?:{'|'.join(_DIGIT_WORDS)})){{5,}})\b")
+_SAID = _DIGIT_WORDS | {"dash": "-", "hyphen": "-"}
+_HOST = r"[A-Za-z0-9][\w-]*"
+# A mail address with its signs in brackets, or spoken throughout.
+_AT, _DOT = (rf"\s?[(\[{{]\s?{word}\s?[)\]}}]\s?" for word in ("at", "dot"))
+_SPOKEN = rf"(?<![\w.+@/-])[A-Za-z0-9][\w+%-]*(?:(?:\.|\sdot\s)[\w+%-]+)*\sat\s{_HOST}(?:\sdot\s{_HOST})+"
+_SIGNS = re.compile(rf"(?i:{_AT}(?={_HOST})|(?<=\w){_DOT}(?={_HOST})|{_SPOKEN})")
+_SIGN = re.compile(r"\s?[(\[{]?\s?\b(at|dot)\b\s?[)\]}]?\s?", re.IGNORECASE)
 
 
 def _one_to_one() -> dict[int, str]:
@@ -44,38 +52,55 @@ def _one_to_one() -> dict[int, str]:
 _SAME_LENGTH = _one_to_one()
 
 
+_REPLACED = re.compile(f"(?P<digits>{_DIGIT_RUN.pattern})|(?P<shift>{_SHIFTS.pattern})|(?P<signs>{_SIGNS.pattern})")
+
+
 def normalise(text: str) -> tuple[str, list[int] | None]:
     """The text with disguises undone, and the source place of each of its characters.
 
     Places are None where each character still stands at its own place. Look-alike
     letters, wide forms, odd blanks and dashes keep their length; invisible characters
-    vanish, entities become their character, spelled digits become digits.
+    vanish, entities become their character, spelled digits become digits, and the at and
+    dots of a mail address their signs.
     """
     if not text.isascii():
         text = text.translate(_SAME_LENGTH)
     small = text.lower()
-    spelled = sum(map(small.count, _DIGIT_WORDS)) >= 6 and _DIGIT_RUN.search(text)  # a run has six words at least
-    if not spelled and ("&" not in text and text.isascii() or not _SHIFTS.search(text)):
+    # A run has six digits at least; the signs of an address are a dot and mostly an at.
+    spelled = sum(map(small.count, _DIGIT_WORDS)) >= 6 and _DIGIT_RUN.search(text)
+    signs = "dot" in small and _SIGNS.search(text) or "at" in small and any(c in small for c in "([{") and _SIGNS.search(text)
+    if not spelled and not signs and ("&" not in text and text.isascii() or not _SHIFTS.search(text)):
         return text, None
     out: list[str] = []
     places: list[int] = []
     at = 0
-    pattern = re.compile(f"{_SHIFTS.pattern}|{_DIGIT_RUN.pattern}", re.IGNORECASE)
-    for m in pattern.finditer(text):
-        out.append(text[at : m.start()])
-        places += range(at, m.start())
-        if m[0][0] == "&":
-            new = html.unescape(m[0]).translate(_SAME_LENGTH)
-            out.append(new)
-            places += [m.start()] * len(new)
-        elif len(m[0]) > 1:
+
+    def keep(end: int) -> None:
+        nonlocal at
+        out.append(text[at:end])
+        places.extend(range(at, end))
+        at = end
+
+    def put(new: str, start: int, end: int) -> None:
+        nonlocal at
+        keep(start)
+        out.append(new)
+        places.extend([start] * len(new))
+        at = end
+
+    for m in _REPLACED.finditer(text):
+        if m["digits"]:
             for word in re.finditer("[A-Za-z]+", m[0]):
-                out.append(_DIGIT_WORDS[word[0].lower()])
-                places.append(m.start() + word.start())
-        at = m.end()
-    out.append(text[at:])
-    places += range(at, len(text) + 1)
-    return "".join(out), places
+                new = _SAID[word[0].lower()]
+                put(new, m.start() + word.start(), m.start() + word.end())
+                at = m.end() if word.end() == len(m[0]) else at + len(re.match("[ -]?", m[0][word.end():])[0])
+        elif m["shift"]:
+            put(html.unescape(m[0]).translate(_SAME_LENGTH) if m[0][0] == "&" else "", m.start(), m.end())
+        else:
+            for sign in _SIGN.finditer(text, m.start(), m.end()):
+                put("@" if sign[1].lower() == "at" else ".", sign.start(), sign.end())
+    keep(len(text))
+    return "".join(out), [*places, len(text)]
 
 
 def source_span(text: str, places: list[int] | None, start: int, end: int) -> tuple[int, int]:
@@ -91,11 +116,9 @@ def source_span(text: str, places: list[int] | None, start: int, end: int) -> tu
 
 # --- Finding ----------------------------------------------------------------------------------
 
-_DOT = r"(?:\.|\s?[(\[{]\s?dot\s?[)\]}]\s?|\sdot\s)"
-_HOST = r"[A-Za-z0-9][\w-]*"
-_DOMAIN = re.compile(rf"(?:@|\s?[(\[{{]\s?at\s?[)\]}}]\s?){_HOST}(?:{_DOT}{_HOST})+|\sat\s{_HOST}(?:\sdot\s{_HOST})+", re.IGNORECASE)
-_LOCAL = re.compile(r"(?<![\w.+@/-])[A-Za-z0-9][\w+%-]*(?:(?:\.|\sdot\s)[\w+%-]+)*$", re.IGNORECASE)
-_LONGEST_LOCAL = 120
+_DOMAIN = re.compile(rf"@{_HOST}(?:\.{_HOST})+")
+_LOCAL = re.compile(r"(?<![\w.+@/-])[A-Za-z0-9][\w+%-]*(?:\.[\w+%-]+)*$")
+_NEAR = 120  # characters before a domain or street that are looked at first; more if these don't hold the begin
 
 _PHONE = re.compile(
     r"(?=[+(\d])(?<![\w.+/:#-])(?:\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:[ ./-]?\d{2,5}){1,6}"
@@ -103,6 +126,7 @@ _PHONE = re.compile(
     r"|0\d{1,4}(?: ?/ ?|[ .-])\d{2,5}(?:[ .-]?\d{2,5}){1,4}|07\d{9})(?: ?(?:ext\.?|extension) ?\d{1,5})?(?![\w-]|\.\d)",
     re.IGNORECASE,
 )
+_BARE = re.compile(r"(?<![\w.+/-])\d{10,13}(?![\w-])")
 _IDNUM = re.compile(
     r"(?=\d|[A-Za-z]{1,2} ?-?\d)(?<![\w./-])(?:\d{3}([- ])\d{2}\1\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[XYZ]-?\d{7}-?[A-Z]|[XYZ]\d{8}"
     r"|\d{8}-?[A-Z]|\d{6}-\d{4}|[A-Z]\d[A-Z]{2}\d{2}[A-Z]\d{2})(?![\w/-]|\.\d)",
@@ -197,6 +221,16 @@ class Names:
         return out
 
 
+def _before(pattern: re.Pattern, text: str, end: int) -> re.Match | None:
+    """The match of a pattern that ends in $ in the text up to a place, however far it begins before."""
+    size = _NEAR
+    while True:
+        found = pattern.search(text[max(0, end - size) : end])
+        if found is None or found.start() > 1 or size >= end:
+            return found
+        size *= 4
+
+
 def find_personal(text: str | None, names: Names) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the findings in a text, by their place in the source.
 
@@ -214,9 +248,9 @@ def find_personal(text: str | None, names: Names) -> list[tuple[str, int, int]]:
             found.append((kind, start, end))
 
     small = plain.lower()
-    if "@" in plain or " dot " in small or "(at" in small or "[at" in small or "( at" in small or "[ at" in small or "{" in small:
+    if "@" in plain:
         for m in _DOMAIN.finditer(plain):
-            local = _LOCAL.search(plain[max(0, m.start() - _LONGEST_LOCAL) : m.start()])
+            local = _before(_LOCAL, plain, m.start())
             if local and local[0].lower() != "git" and not re.match(r":\S", plain[m.end() : m.end() + 2]):
                 add("email", m.start() - len(local[0]), m.end())
     for m in _IDNUM.finditer(plain):
@@ -224,12 +258,16 @@ def find_personal(text: str | None, names: Names) -> list[tuple[str, int, int]]:
     for m in _PHONE.finditer(plain):
         if 9 <= sum(c.isdigit() for c in re.sub(r"(?i) ?ext.*", "", m[0])) <= 15:
             add("phone", *m.span())
+    if places is not None:  # ten digits that are spelled out are a phone number, in digits they may be any
+        for m in _BARE.finditer(plain):
+            if text[places[m.start()]].isalpha():
+                add("phone", *m.span())
     for m in _ADDRESS.finditer(plain):
         if any(c.isupper() for c in m[0]):
             add("address", *m.span())
     if any(street in small for street in _STREETS):
         for m in _STREET.finditer(plain):
-            word = _STREET_START.search(plain[max(0, m.start() - 60) : m.start()])
+            word = _before(_STREET_START, plain, m.start())
             if word and any(c.isupper() for c in word[0] + m[0]):
                 add("address", m.start() - len(word[0]), m.end())
     for span in names.spans(plain):
@@ -241,9 +279,11 @@ def find_personal(text: str | None, names: Names) -> list[tuple[str, int, int]]:
 
 
 def learn_names(users: DataFrame) -> Names:
-    """Names of the users' table, of which at most MAX_PEOPLE rows are read."""
-    people = users.select("real_name").where("real_name IS NOT NULL").distinct().limit(MAX_PEOPLE)
-    return Names(sorted(r[0] for r in people.collect()))
+    """Names of the users' table: its different names, at most MOST_NAMES, else an error."""
+    people = users.select("real_name").where("real_name IS NOT NULL").distinct().limit(MOST_NAMES + 1).collect()
+    if len(people) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names")
+    return Names(sorted(r[0] for r in people))
 
 
 def personal_information(df: DataFrame, key: str, text: str, names: Names) -> DataFrame:
