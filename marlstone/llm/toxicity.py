@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +23,10 @@ FIT_ROWS = 20_000
 DIMENSIONS = 1 << 18
 MIN_DOCS = 3  # features in fewer labelled documents are no evidence
 ROUNDS, RATE, DECAY = 150, 0.5, 1e-3
+SETTLING, LEAST_WEIGHT = 25, 0.01  # after so many rounds, features without that weight are left out
 WRONG = 0.2  # share of labels taken to be wrong, which bounds the pull of any of them
 CUTOFF = 0.5
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 WINDOW = 16  # words of an instance where a sentence is longer than one and a half of it
 
 # Letters of other scripts and digits or signs that stand for Latin letters.
@@ -38,35 +41,48 @@ _MASKED = re.compile(r"^[a-z]{1,4}(?:[#*]+|_{2,})[a-z]+$")
 _CJK = re.compile(r"[぀-ヿ一-鿿]")
 
 
+def _plain_token(token: str) -> list[str]:
+    """The words of one lower-case token with disguises undone."""
+    if _CJK.search(token):
+        return list(token)
+    if not token.isascii() and re.search("[a-z]", token):
+        token = token.translate(_LOOKALIKES)
+    if token.isalpha():
+        pass
+    elif _MASKED.match(token):
+        token = "<masked>"
+    elif not token.isdigit() and len(token) > 3 and not re.search(r"[a-z]{3,}\d+$|_", token) or re.fullmatch(r"[0134578@$]{3,4}[a-z0-9@$]*[a-z][a-z0-9@$]*", token):
+        token = token.translate(_LEET)
+    else:
+        token = "<id>"
+    token = re.sub(r"([a-z])\1{2,}", r"\1", token)
+    return ["you" if token == "u" else token]
+
+
+_plain: dict[str, list[str]] = {}
+_codes: dict[str, int] = {}
+
+
 def plain_words(sentence: str) -> list[str]:
     """Words of a sentence with disguises undone.
 
     Compatibility forms, invisible marks, accents, look-alike letters, spelled-out or dotted
     words, digits for letters and drawn-out letters are normalised; a word with masked
-    letters becomes '<masked>', other words with digits '<id>'.
+    letters becomes '<masked>', other words with digits '<id>'. Tokens are remembered per task.
     """
     text = sentence
     if not text.isascii():
         text = unicodedata.normalize("NFD", _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)))
         text = "".join(c for c in text if not unicodedata.combining(c))
     text = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), text.lower())
+    if len(_plain) > 400_000:
+        _plain.clear()
     words: list[str] = []
     for token in _TOKEN.findall(text):
-        if _CJK.search(token):
-            words += token
-            continue
-        if not token.isascii() and re.search("[a-z]", token):
-            token = token.translate(_LOOKALIKES)
-        if token.isalpha():
-            pass
-        elif _MASKED.match(token):
-            token = "<masked>"
-        elif not token.isdigit() and len(token) > 3 and not re.search(r"[a-z]{3,}\d+$|_", token) or re.fullmatch(r"[0134578@$]{3,4}[a-z0-9@$]*[a-z][a-z0-9@$]*", token):
-            token = token.translate(_LEET)
-        else:
-            token = "<id>"
-        token = re.sub(r"([a-z])\1{2,}", r"\1", token)
-        words.append("you" if token == "u" else token)
+        got = _plain.get(token)
+        if got is None:
+            got = _plain[token] = _plain_token(token)
+        words += got
     return words
 
 
@@ -89,10 +105,37 @@ def instances(text: str | None) -> list[tuple[str, list[str]]]:
     return out
 
 
-def features(words: list[str]) -> list[int]:
-    """Hashed words, pairs and pairs with one word between."""
-    grams = [*words, *map(" ".join, zip(words, words[1:])), *(f"{a} _ {b}" for a, b in zip(words, words[2:]))]
-    return list({zlib.crc32(g.encode()) % DIMENSIONS for g in grams})
+def word_codes(lists: list[list[str]]) -> np.ndarray:
+    """32-bit codes of the words of all lists, remembered per task."""
+    if len(_codes) > 400_000:
+        _codes.clear()
+    out = []
+    for words in lists:
+        for w in words:
+            code = _codes.get(w)
+            if code is None:
+                code = _codes[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
+            out.append(code)
+    return np.array(out, np.uint64)
+
+
+def features(lists: list[list[str]], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(instance, feature) of word lists, each pair once, in order: hashed words, pairs, pairs with one word between.
+
+    wanted: marks the features that are of interest; the others are left out.
+    """
+    codes = word_codes(lists)
+    of = np.repeat(np.arange(len(lists)), [len(words) for words in lists])
+    one, two, three, four, five = _MIX
+    shift = np.uint64(64 - DIMENSIONS.bit_length() + 1)
+    near, far = of[1:] == of[:-1], of[2:] == of[:-2]
+    grams = [codes * one, (codes[:-1] * two + codes[1:] * three)[near], (codes[:-2] * four + codes[2:] * five)[far]]
+    rows = np.concatenate([of, of[:-1][near], of[:-2][far]])
+    cols = ((np.concatenate(grams) * one) >> shift).astype(np.int64)
+    if wanted is not None:
+        rows, cols = rows[wanted[cols]], cols[wanted[cols]]
+    pairs = np.unique(rows * DIMENSIONS + cols)
+    return pairs // DIMENSIONS, pairs % DIMENSIONS
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -100,42 +143,49 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[str], targets: list[int]) -> dict[int, list[float]]:
+def _stretches(rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows and columns of a sparse matrix, without columns below 0, and where each begins in the one and the other order."""
+    rows, cols = rows[cols >= 0], cols[cols >= 0].astype(np.int32)
+    filled, row_at = np.unique(rows, return_index=True)
+    order = np.argsort(cols, kind="stable")
+    seen, col_at = np.unique(cols[order], return_index=True)
+    return rows, cols, filled, row_at, rows[order], seen, col_at
+
+
+def fit(sizes: list[int], rows: np.ndarray, cols: np.ndarray, targets: list[int]) -> dict[int, list[float]]:
     """Weights per feature (benign and each kind), by multiple-instance learning.
 
-    targets: 0 benign, 1..3 the kinds, 4 toxic of an unstated kind. A sentence is one of
+    sizes: instances of each document, at least one; rows and cols: the features of the
+    instances, numbered over all documents, by instance. targets: 0 benign, 1..3 the kinds, 4 toxic of an unstated kind. A sentence is one of
     benign and the kinds (softmax); a document holds a kind with the noisy-or of its
     sentences, 1 - prod(1 - p). The log likelihood of the document labels is raised by
     gradient steps with a step size per weight; only document labels are used, so which
     sentences offend is found on the way. Feature -1 is the bias.
     """
-    rows, cols, starts = [], [], []
-    n = 0
-    for text in texts:
-        starts.append(n)
-        for _, words in instances(text) or [("", [])]:
-            f = features(words)
-            rows += [n] * len(f)
-            cols += f
-            n += 1
-    rows_a, cols_a, starts_a = np.array(rows, int), np.array(cols, int), np.array(starts, int)
-    doc_of = np.repeat(np.arange(len(texts)), np.diff([*starts, n]))
-    seen = np.unique(np.stack([doc_of[rows_a], cols_a]), axis=1)[1] if len(rows) else np.array([], int)
+    n = sum(sizes)
+    starts_a = np.cumsum([0, *sizes[:-1]])
+    doc_of = np.repeat(np.arange(len(sizes)), sizes)
+    seen = np.unique(doc_of[rows] * DIMENSIONS + cols) % DIMENSIONS
     used = np.flatnonzero(np.bincount(seen, minlength=DIMENSIONS) >= MIN_DOCS)
     index = np.full(DIMENSIONS, -1)
     index[used] = np.arange(len(used))
-    good = index[cols_a] >= 0 if len(rows) else np.array([], bool)
-    rows_a, cols_a = rows_a[good], index[cols_a[good]]
+    rows_a, cols_a, filled, row_at, rows_by_col, seen_cols, col_at = _stretches(rows, index[cols])
     y = np.array(targets)
     w = np.zeros((len(used), 4))
     b = np.array([3.0, 0.0, 0.0, 0.0])
     gw, gb = np.full_like(w, 1e-6), np.full(4, 1e-6)
     toxic = y > 0
     weight = np.sqrt(max(1.0, (~toxic).sum() / max(1, toxic.sum())))  # toxic documents are fewer
-    for _ in range(ROUNDS):
+    for round_ in range(ROUNDS):
+        if round_ == SETTLING:
+            kept = np.flatnonzero(np.abs(w).max(axis=1, initial=0) > LEAST_WEIGHT)
+            index = np.full(len(w), -1)
+            index[kept] = np.arange(len(kept))
+            w, gw, used = w[kept], gw[kept], used[kept]
+            rows_a, cols_a, filled, row_at, rows_by_col, seen_cols, col_at = _stretches(rows_a, index[cols_a])
         z = np.tile(b, (n, 1))
-        for k in range(4):
-            z[:, k] += np.bincount(rows_a, weights=w[cols_a, k], minlength=n)
+        for k in range(4 if len(filled) else 0):
+            z[filled, k] += np.add.reduceat(w[:, k].astype(np.float32)[cols_a], row_at)
         p = np.clip(_softmax(z), 1e-9, 1 - 1e-9)
         hit = p[np.arange(n), np.where(y[doc_of] == 4, 0, y[doc_of])]
         hit = np.where(y[doc_of] == 4, 1 - hit, hit)  # probability that the sentence is what its document is labelled
@@ -159,10 +209,11 @@ def fit(texts: list[str], targets: list[int]) -> dict[int, list[float]]:
         at = np.flatnonzero(~toxic[doc_of])  # benign documents: every sentence is benign
         grad[at] -= calm[at, None] * p[at]
         grad[at, 0] += calm[at]
-        for k in range(4):
-            g = np.bincount(cols_a, weights=grad[rows_a, k], minlength=len(used)) - DECAY * len(texts) * w[:, k]
-            gw[:, k] += g * g
-            w[:, k] += RATE * g / np.sqrt(gw[:, k])
+        g = -DECAY * len(sizes) * w
+        for k in range(4 if len(filled) else 0):
+            g[seen_cols, k] += np.add.reduceat(grad[:, k].astype(np.float32)[rows_by_col], col_at)
+        gw += g * g
+        w += RATE * g / np.sqrt(gw)
         g = grad.sum(axis=0)
         gb += g * g
         b += 0.1 * RATE * g / np.sqrt(gb)
@@ -189,12 +240,29 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
     rated = rated.orderBy("h").limit(fit_rows)
     sample = rated.join(docs.select("doc_id", "text").where(F.col("text").isNotNull()), "doc_id")
 
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [[words for _, words in instances(t)] or [[]] for t in batch.column("text").to_pylist()]
+            rows, cols, ends = [np.array([], np.int32)], [np.array([], np.int32)], [0]
+            for lists in texts:
+                r, c = features(lists)
+                rows.append(r.astype(np.int32))
+                cols.append(c.astype(np.int32))
+                ends.append(ends[-1] + len(r))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x))) for x in (rows, cols)]
+            kept = [batch.column(c) for c in ("h", "target")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([len(t) for t in texts], pa.int32()), *lists], names=["h", "target", "n", "rows", "cols"])
+
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:  # one group of at most fit_rows rows
-        frame = frame.sort_values(["h", "doc_id"])
-        model = fit(list(frame["text"]), list(frame["target"]))
+        frame = frame.sort_values(["h", "n"])
+        sizes = frame["n"].tolist()
+        firsts = np.cumsum([0, *sizes[:-1]])
+        rows = np.concatenate([r.astype(np.int64) + at for r, at in zip(frame["rows"], firsts)])
+        model = fit(sizes, rows, np.concatenate(list(frame["cols"])).astype(np.int64), list(frame["target"]))
         return pd.DataFrame({"feature": list(model), "w": list(model.values())})
 
-    return sample.groupBy(F.lit(1).alias("all")).applyInPandas(run, "feature long, w array<double>")
+    made = sample.mapInArrow(bags, "h long, target int, n int, rows array<int>, cols array<int>")
+    return made.groupBy(F.lit(1).alias("all")).applyInPandas(run, "feature long, w array<double>")
 
 
 def score(docs: DataFrame, model: dict[int, list[float]], text: str = "text") -> DataFrame:
@@ -206,22 +274,30 @@ def score(docs: DataFrame, model: dict[int, list[float]], text: str = "text") ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        row = {f: i for i, f in enumerate(shared.value)}
-        weights = np.array(list(shared.value.values()) or [[9.0, 0.0, 0.0, 0.0]])
-        bias = weights[row.get(-1, 0)]
+        known = sorted(f for f in shared.value if f >= 0)
+        weights = np.array([shared.value[f] for f in known] or [[0.0] * 4])
+        bias = np.array(shared.value.get(-1, [9.0, 0.0, 0.0, 0.0]))
+        place = np.zeros(DIMENSIONS, np.int64)
+        place[known] = np.arange(len(known))
+        wanted = np.zeros(DIMENSIONS, bool)
+        wanted[known] = True
         for batch in batches:
-            out = []
-            for value in batch:
-                parts = instances(value)
-                if not parts:
+            parts = [instances(value) for value in batch]
+            flat = [words for some in parts for _, words in some]
+            z = np.tile(bias, (len(flat), 1))
+            rows, cols = features(flat, wanted)
+            filled, at = np.unique(rows, return_index=True)
+            if len(filled):
+                z[filled] += np.add.reduceat(weights[place[cols]], at)
+            p, end, out = _softmax(z) if len(flat) else z, 0, []
+            for some in parts:
+                start, end = end, end + len(some)
+                if some:
+                    mine = p[start:end]
+                    total = noisy_or(mine, np.array([0]))[0]
+                    out.append(([float(x) for x in total[1:]], [some[int(k)][0] for k in mine[:, 1:].argmax(axis=0)]))
+                else:
                     out.append(([0.0] * 3, [None] * 3))
-                    continue
-                z = np.empty((len(parts), 4))
-                for i, (_, words) in enumerate(parts):
-                    z[i] = bias + weights[np.array([row[f] for f in features(words) if f in row], int)].sum(axis=0)
-                p = _softmax(z)
-                total = noisy_or(p, np.array([0]))[0]
-                out.append(([float(x) for x in total[1:]], [parts[int(k)][0] for k in p[:, 1:].argmax(axis=0)]))
             yield pd.DataFrame(out, columns=["score", "worst"])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
