@@ -7,10 +7,19 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Small Latin letters with marks and their base letters, by decomposition; two by hand.
-_BASE = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xE0, 0x180) if unicodedata.decomposition(chr(c)) and chr(c).islower()}
-_BASE = {k: v for k, v in _BASE.items() if v.isascii() and v.isalpha()} | {"ł": "l", "ς": "σ"}
-MARKED, FOLDED = "".join(_BASE), "".join(_BASE.values())
+
+
+def _latin_bases() -> dict[str, str]:
+    """Small Latin letters with marks and their base letters, by decomposition; the final sigma folds by case."""
+    out = {"ς": "σ"}
+    for c in map(chr, [*range(0xE0, 0x250), *range(0x1E00, 0x1F00)]):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and c.islower() and base.isascii() and base.isalpha():
+            out[c] = base
+    return out
+
+
+MARKED, FOLDED = "".join(_latin_bases()), "".join(_latin_bases().values())
 SPACES = r"(?U)^\s+|\s+$"
 
 
@@ -30,12 +39,6 @@ def fold_words(text: Column) -> Column:
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def padded_words(text: Column) -> Column:
-    """The index terms as one text, each between blanks of its own, so that counting needs no array."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, FOLDED)
-    return F.concat(F.lit(" "), F.regexp_replace(folded, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
-
-
 def query_terms(text: Column) -> Column:
     """Search terms: runs of letters, digits, '_', '-' and '.' of two characters or more."""
     return F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([\p{L}\p{N}_.-]+)"), F.lit(1)), lambda t: F.length(t) >= 2)
@@ -82,7 +85,17 @@ def collapse_whitespace(text: Column) -> Column:
     return F.when(F.regexp_replace(joined, r"\n", "") == "", "").otherwise(F.concat(F.regexp_replace(joined, r"^\n+|\n+$", ""), F.lit("\n")))
 
 
+def ascii_lower(text: Column) -> Column:
+    """ASCII letters in lower case, all other characters as they are."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def file_stem(path: Column) -> Column:
+    """A file's name without folder and last extension; 'untitled' if nothing is left."""
+    stem = F.regexp_extract(path, r"([^/]*?)(?:(?<=[^/])\.[^./]*)?$", 1)
+    return F.when(stem != "", stem).otherwise("untitled")
+
+
 def contains_folded(text: Column, part: str) -> Column:
     """Whether text holds part, ASCII letters compared without case; null text never does."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.coalesce(F.translate(text, upper, lower).contains(F.translate(F.lit(part), upper, lower)), F.lit(False))
+    return F.coalesce(ascii_lower(text).contains(ascii_lower(F.lit(part))), F.lit(False))

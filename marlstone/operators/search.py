@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import fold_words, padded_words, query_terms
+from marlstone.functions.text import fold_words, query_terms
 from marlstone.functions.vectors import cosine
+from marlstone.operators.fulltext import TextIndex, indexed
 from marlstone.operators.ranking import split_rank
 
 RRF_K, SPARSE_POOL = 60, 200
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 @dataclass(frozen=True)
@@ -36,65 +36,37 @@ def dense_ranks(chunks: DataFrame, vector: list[float]) -> DataFrame:
     return split_rank(scored, [], [F.col("cos").desc(), F.col("chunk_id")], -F.floor(F.col("cos") * 5000), "rank")
 
 
-def term_frequency(padded: Column, term: list[str]) -> Column:
-    """How often padded words hold a term; one of several words is a phrase of adjacent ones.
-
-    Terms are words of letters and digits, so they need no escaping; the lookahead lets
-    occurrences of a phrase overlap.
-    """
-    return F.regexp_count(padded, F.lit(f"(?= {'  '.join(term)} )"))
-
-
 def parse_query(spark, text: str) -> list[list[str]]:
     """The terms of a query, each as its index words; terms without words are dropped."""
     row = spark.range(1).select(F.transform(query_terms(F.lit(text)), fold_words).alias("t")).first()
     return [list(t) for t in row["t"] if t]
 
 
-def bm25(chunks: DataFrame, terms: list[list[str]]) -> DataFrame:
-    """chunk_id, bm25 of the chunks that hold a term; repeated terms count as often.
-
-    One projection counts all terms per chunk; the totals (chunks, mean length, chunks per
-    term) are one row. Null texts count as empty ones. Smaller is better.
-    """
-    spark = chunks.sparkSession
-    if not terms:
-        return spark.createDataFrame([], "chunk_id string, bm25 double")
-    words = chunks.select("chunk_id", padded_words(F.col("text")).alias("w"))
-    tf = words.select("chunk_id", F.regexp_count("w", F.lit(r"[\p{L}\p{N}]+")).alias("len"), *[term_frequency(F.col("w"), t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    totals = tf.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))]).first()
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        df, n = totals[f"df{i}"] or 0, totals["n"]
-        idf = F.log(F.lit((n - df + 0.5) / (df + 0.5)))
-        idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
-        f = F.col(f"tf{i}").cast("double")
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.lit(float(totals["mean"] or 1))))
-    hit = F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0
-    return tf.where(hit).select("chunk_id", (-score).alias("bm25"))
-
-
-def sparse_ranks(chunks: DataFrame, terms: list[list[str]], pool: int = SPARSE_POOL) -> DataFrame:
+def sparse_ranks(index: TextIndex, terms: list[list[str]], pool: int = SPARSE_POOL) -> DataFrame:
     """chunk_id, rank of the best chunks by BM25; the pool is part of the definition of this leg."""
-    best = bm25(chunks, terms).withColumn("bm25", F.round("bm25", 9)).orderBy("bm25", "chunk_id").limit(pool)
-    return split_rank(best, [], [F.col("bm25"), F.col("chunk_id")], F.lit(0), "rank")
+    best = index.bm25(terms).withColumn("bm25", F.round("bm25", 9)).orderBy("bm25", "chunk_id").limit(pool)
+    # A window over the pool's rows only, which one task may hold.
+    return best.select("chunk_id", (F.row_number().over(Window.orderBy("bm25", "chunk_id")) - 1).cast("long").alias("rank"))
 
 
-def fused(chunks: DataFrame, vector: list[float] | None, text: str) -> DataFrame:
-    """chunk_id, score: sum over the legs of 1 / (60 + rank + 1)."""
+def fused(chunks: DataFrame, vector: list[float] | None, text: str, index: TextIndex | None = None) -> DataFrame:
+    """chunk_id, score: sum over the legs of 1 / (60 + rank + 1).
+
+    index: the stored index of these chunks; without one they are indexed first.
+    """
     spark = chunks.sparkSession
     legs = []
     if vector is not None:
         legs.append(dense_ranks(chunks, vector).select("chunk_id", "rank"))
     if terms := parse_query(spark, text):
-        legs.append(sparse_ranks(chunks, terms).select("chunk_id", "rank"))
+        legs.append(sparse_ranks(index or indexed(chunks), terms).select("chunk_id", "rank"))
     if not legs:
         return spark.createDataFrame([], "chunk_id string, score double")
     both = legs[0] if len(legs) == 1 else legs[0].unionByName(legs[1])
     return both.groupBy("chunk_id").agg(F.sum(F.lit(1.0) / (F.col("rank") + RRF_K + 1)).alias("score"))
 
 
-def search(chunks: DataFrame, documents: DataFrame, tags: DataFrame, vector: list[float] | None, text: str, options: SearchOptions | None = None) -> DataFrame:
+def search(chunks: DataFrame, documents: DataFrame, tags: DataFrame, vector: list[float] | None, text: str, options: SearchOptions | None = None, index: TextIndex | None = None) -> DataFrame:
     """Every hit of a hybrid search: chunk_id, document_id, source, file_type, chunk_index, tags, score.
 
     chunks: chunk_id, document_id, chunk_index, text, embedding; documents: document_id,
@@ -102,7 +74,7 @@ def search(chunks: DataFrame, documents: DataFrame, tags: DataFrame, vector: lis
     are those of the whole store. page() orders and cuts the result.
     """
     options = options or SearchOptions()
-    hits = fused(chunks, vector, text).join(chunks.select("chunk_id", "document_id", "chunk_index"), "chunk_id")
+    hits = fused(chunks, vector, text, index).join(chunks.select("chunk_id", "document_id", "chunk_index"), "chunk_id")
     if options.collection is not None:
         hits = hits.join(options.collection.select("document_id"), "document_id", "left_semi")
     docs = documents.select("document_id", F.col("source_path").alias("source"), "file_type")

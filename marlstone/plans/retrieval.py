@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import FOLDED, MARKED, fold_words, query_terms
+from marlstone.functions.text import fold_words, query_terms
 from marlstone.functions.vectors import cosine, l2_normalised
 from marlstone.operators import search as s
+from marlstone.operators.fulltext import TextIndex, indexed
 from marlstone.plans import views
 from marlstone.plans.views import SQL_TURNS, SQL_VIEWS
 from marlstone.tables import table
@@ -21,9 +22,20 @@ def _vector(spark: SparkSession, base: str) -> list[float]:
     return [float(x) for x in table(spark, base, "embeddings").orderBy("vec_id").first()["embedding"]]
 
 
+_indexes: dict[tuple[str, str], TextIndex] = {}
+
+
+def _index(spark: SparkSession, base: str) -> TextIndex:
+    """The stored index of a folder's documents: made when the session first needs it."""
+    key = (spark.sparkContext.applicationId, base)
+    if key not in _indexes:
+        _indexes[key] = indexed(views.chunks(spark, base))
+    return _indexes[key]
+
+
 def _hits(spark: SparkSession, base: str, options: s.SearchOptions | None = None, vector: bool = True) -> DataFrame:
     v = _vector(spark, base) if vector else None
-    return s.search(views.chunks(spark, base), views.documents(spark, base), views.tags(spark, base), v, QUERY, options)
+    return s.search(views.chunks(spark, base), views.documents(spark, base), views.tags(spark, base), v, QUERY, options, _index(spark, base))
 
 
 def _shown(hits: DataFrame) -> DataFrame:
@@ -51,11 +63,11 @@ def dense_rank_full(spark, base):
 
 
 def bm25_all(spark, base):
-    return s.bm25(views.chunks(spark, base), TERMS).select("chunk_id", F.round("bm25", 6).alias("bm25"))
+    return _index(spark, base).bm25(TERMS).select("chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
 def bm25_topk(spark, base):
-    return s.sparse_ranks(views.chunks(spark, base), s.parse_query(spark, QUERY)).select("chunk_id", "rank")
+    return s.sparse_ranks(_index(spark, base), s.parse_query(spark, QUERY)).select("chunk_id", "rank")
 
 
 def fts_query_terms(spark, base):
@@ -135,7 +147,9 @@ def label_centroid_similarity(spark, base):
     return e.join(mean, "label").select("vec_id", "label", F.round(cosine(F.col("embedding"), F.col("v")), 6).alias("cos"))
 
 
-_WORDS = f"list_filter(regexp_split_to_array(translate(lower(coalesce(text, '')), '{MARKED}', '{FOLDED}'), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+# Letters lose their accents if they are Latin; the final sigma is a sigma.
+_FOLDED = "array_to_string(list_transform(string_split(replace(lower(coalesce(text, '')), 'ς', 'σ'), ''), lambda c: CASE WHEN regexp_matches(c, '\\p{Latin}') THEN strip_accents(c) ELSE c END), '')"
+_WORDS = f"regexp_extract_all({_FOLDED}, '[\\p{{L}}\\p{{N}}]+')"
 
 
 def _tf(term: list[str]) -> str:

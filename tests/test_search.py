@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import approximate_tokens, collapse_whitespace, derive_title, humanize_bytes, query_terms, strip_html
 from marlstone.functions.vectors import cosine, from_blob, to_blob
 from marlstone.operators import search as s
+from marlstone.operators.fulltext import TextIndex, indexed
 from marlstone.operators.ranking import split_rank
 
 CHUNKS = "chunk_id string, document_id long, chunk_index int, text string, embedding array<float>"
@@ -18,8 +19,8 @@ def store(spark, rows):
 
 
 def test_rare_keyword_beats_equal_vectors(spark):
-    rows = [(i, "growing tomatoes", [1.0, 0.0, 0.0]) for i in range(30)] + [(99, "see lumencanvas.studio", [0.0, 1.0, 0.0])]
-    hits = s.page(s.search(*store(spark, rows), [1.0, 0.0, 0.0], "lumencanvas"), 5).collect()
+    rows = [(i, "growing tomatoes", [1.0, 0.0, 0.0]) for i in range(30)] + [(99, "see quartzmeadow.studio", [0.0, 1.0, 0.0])]
+    hits = s.page(s.search(*store(spark, rows), [1.0, 0.0, 0.0], "quartzmeadow"), 5).collect()
     assert hits[0]["chunk_id"] == "99:0" and len(hits) == 5
 
 
@@ -36,11 +37,26 @@ def test_pages_filters_and_empty_store(spark):
 
 def test_bm25_formula_and_phrase(spark):
     chunks = store(spark, [(1, "error-rate of error", None), (2, "rate error", None), (3, "x y z", None)])[0]
-    got = {r["chunk_id"]: r["bm25"] for r in s.bm25(chunks, s.parse_query(spark, "error-rate")).collect()}
+    got = {r["chunk_id"]: r["bm25"] for r in indexed(chunks).bm25(s.parse_query(spark, "error-rate")).collect()}
     idf = math.log((3 - 1 + 0.5) / 1.5)
     assert set(got) == {"1:0"} and abs(got["1:0"] + idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 4 / 3))) < 1e-12
 
 
+def test_index_is_kept_with_its_chunks(spark):
+    rows = [(1, "red apple", None), (2, "green apple pie", None), (3, None, None)]
+    chunks = store(spark, rows)[0]
+    index = indexed(chunks.where("chunk_id != '3:0'"))
+    index.add(chunks)  # only what it lacks
+    again = TextIndex(spark, index.path)
+    assert again.lengths().count() == 3 and again.postings(["apple", "pie", "none"]).count() == 3
+    again.remove(chunks.where("chunk_id = '1:0'"))
+    again.add(store(spark, [(4, "apple", None)])[0])
+    assert {r.chunk_id for r in again.bm25([["apple"]]).collect()} == {"2:0", "4:0"} and again.lengths().count() == 3
+    assert indexed(chunks.limit(0)).bm25([["apple"]]).count() == 0 and index.bm25([]).count() == 0
+    scan = again.postings(["apple"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in scan or "PartitionFilters: [(bucket" in scan or "PartitionFilters: [bucket" in scan
+
+
 def test_context_never_leaves_the_document(spark):
     t = spark.createDataFrame([(f"{d}:{i}", d, i, "t", None) for d in (1, 2) for i in range(4)], CHUNKS)
     mid = spark.createDataFrame([("1:0",), ("1:0",), ("2:9",)], "chunk_id string")
@@ -60,7 +76,7 @@ def test_text_functions(spark):
     val = lambda c: one.select(c.alias("v")).first()["v"]
     assert [val(humanize_bytes(F.lit(n))) for n in (0, 1024, 1536, 2**20, 2**30)] == ["0.0 B", "1.0 KB", "1.5 KB", "1.0 MB", "1.0 GB"]
     assert [val(approximate_tokens(F.lit(t))) for t in ("", "abcd", "hello world, this is a test")] == [0, 1, 6]
-    assert val(query_terms(F.lit('say "hi" a lumencanvas.studio'))) == ["say", "hi", "lumencanvas.studio"]
+    assert val(query_terms(F.lit('say "hi" a quartzmeadow.studio'))) == ["say", "hi", "quartzmeadow.studio"]
     assert val(strip_html(F.lit("<p>a&amp;b</p><script>x</script> c <unclosed"))) == "a&amp;b c "
     assert val(collapse_whitespace(F.lit("  a \n\n\n b\n"))) == "a\nb\n"
     assert val(derive_title(F.lit("\n  " + "t" * 90))) == "t" * 77 + "..." and val(derive_title(F.lit(None).cast("string"))) == "(untitled)"
