@@ -1,4 +1,4 @@
-"""Message logs: bursts, thread replies, continuation lines, stalls, running budgets."""
+"""Message logs: bursts, thread replies, continuation lines, stalls."""
 
 from __future__ import annotations
 
@@ -30,6 +30,16 @@ def burst_bodies(numbered: DataFrame, group: list[str], position: str, text: str
     return numbered.groupBy(*group, "burst").agg(F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda m: m[text]), "\n").alias("body"))
 
 
+def thread_replies(replies: DataFrame, group: list[str], parent: str, order: list[str], line: str) -> DataFrame:
+    """group, parent, n_replies, replies: the lines of the replies to each parent in order, joined.
+
+    Replies with a null parent belong to none.
+    """
+    ordered = F.sort_array(F.collect_list(F.struct(*order, line)))
+    told = replies.where(F.col(parent).isNotNull()).groupBy(*group, parent)
+    return told.agg(F.count("*").alias("n_replies"), F.array_join(F.transform(ordered, lambda m: m[line]), "").alias("replies"))
+
+
 def continuation_lines(lines: DataFrame, group: list[str], position: str, text: str, header: str) -> DataFrame:
     """Messages of a chat text: a line without a header goes on with the message before it.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.chunking import chunk_record, chunk_text
 from marlstone.functions.text import approximate_tokens, canonical_source, collapse_whitespace, derive_title, humanize_bytes, strip_html
 from marlstone.operators import sessions
+from marlstone.sources import slack
 from marlstone.tables import table
 
 
@@ -82,10 +83,32 @@ def stall_detect(spark, base):
 
 
 def thread_replies(spark, base):
-    """Messages of one channel and stamp text as replies to the first of them."""
-    m = table(spark, base, "message_log").where("kind = 'slack' AND ts IS NOT NULL")
-    first = m.groupBy("channel", "ts").agg(F.min("msg_key").alias("parent"))
-    return m.join(first, ["channel", "ts"]).where("msg_key != parent").select("msg_key", "parent")
+    """Replies to each message of chat_messages that has any, in the order of their stamp texts."""
+    m = table(spark, base, "chat_messages").select("conversation_uuid", "parent_uuid", F.coalesce("created_at", F.lit("")).alias("created_at"), "row_id", F.concat(F.lit("\n> "), F.col("row_id").cast("string")).alias("line"))
+    return sessions.thread_replies(m, ["conversation_uuid"], "parent_uuid", ["created_at", "row_id"], "line")
+
+
+def _slack_log(spark, base):
+    """The Slack rows of message_log as messages, and the users as an export has them."""
+    log = table(spark, base, "message_log").where("kind = 'slack'")
+    rows = log.select("msg_key", "channel", F.col("user_ref").alias("author"), F.coalesce("ts", F.lit("")).alias("ts"), F.coalesce("msg_text", F.lit("")).alias("body"), "subtype")
+    users = table(spark, base, "slack_users").select(F.col("user_id").alias("id"), F.col("handle").alias("name"), "real_name", "display_name", F.lit(None).cast("string").alias("normalized"))
+    return rows, users
+
+
+def slack_lines(spark, base):
+    """Each Slack message as a rendered line, notices left out; mentions by name."""
+    rows, users = _slack_log(spark, base)
+    names = slack.user_names(users)
+    said = rows.where(~F.coalesce("subtype", F.lit("")).isin(*slack.NOTICES))
+    said = slack.resolved_mentions(said, ["msg_key"], "body", names.select(F.concat(F.lit("@"), "id").alias("key"), F.col("handle").alias("name")))
+    known = said.withColumn("author", F.coalesce("author", F.lit(""))).join(names.withColumnRenamed("id", "author"), "author", "left").withColumn("who", F.coalesce("handle", "author"))
+    return known.withColumn("channel", F.coalesce("channel", F.lit(""))).select("msg_key", slack.rendered(F.col("body")).alias("line"))
+
+
+def slack_users_named(spark, base):
+    """Handle and display name of every user."""
+    return slack.user_names(_slack_log(spark, base)[1])
 
 
 def csv_rows_render(spark, base):
@@ -111,20 +134,41 @@ def revenue_by_nation(spark, base):
 
 
 _DAY = "WITH e AS (SELECT *, epoch(date_trunc('second', ts))::BIGINT AS second, (epoch(date_trunc('second', ts))::BIGINT // 86400) AS day, event_type = 'error' AS is_parent FROM events), l AS (SELECT *, lag(user_id) OVER w AS pu, lag(second) OVER w AS ps, lag(is_parent) OVER w AS pp FROM e WINDOW w AS (PARTITION BY day ORDER BY ts, event_id)), b AS (SELECT *, sum(CASE WHEN pu = user_id AND abs(second - ps) < 90 AND NOT is_parent AND NOT pp THEN 0 ELSE 1 END) OVER (PARTITION BY day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS burst FROM l)"
+_SLACK = """WITH u AS (SELECT id, handle, CASE WHEN real_name <> '' AND real_name <> handle THEN real_name END AS display FROM
+ (SELECT user_id AS id, coalesce(nullif(display_name, ''), handle, user_id) AS handle, real_name FROM slack_users)),
+ m AS (SELECT msg_key, channel, user_ref, msg_text AS told, ts, coalesce(try_cast(nullif(regexp_extract(coalesce(ts, ''), '^([+-]?[0-9]+)([.]|$)', 1), '') AS BIGINT), 0) AS second
+ FROM message_log WHERE kind = 'slack' AND coalesce(subtype, '') NOT IN ('channel_join', 'channel_leave', 'channel_archive', 'channel_unarchive', 'channel_name', 'channel_topic', 'channel_purpose', 'pinned_item', 'unpinned_item', 'bot_add', 'bot_remove', 'reminder_add', 'thread_broadcast')),
+ d AS (SELECT *, CASE WHEN abs(second) <= 8210266876799 THEN make_timestamp(second * 1000000) END AS moment FROM m),
+ said AS (SELECT *, CASE WHEN moment IS NULL THEN ts ELSE CASE WHEN year(moment) > 9999 THEN '+' ELSE '' END || strftime(moment, '%Y-%m-%d %H:%M') END AS minute FROM d)"""
 _SIZE = "octet_length(encode(coalesce(text, '')))"
-_STRIP = "regexp_replace(regexp_replace(regexp_replace(text, '<script[^>]*>.*?</script[^>]*>', '', 'gis'), '<style[^>]*>.*?</style[^>]*>', '', 'gis'), '<[^>]*>|>|<[^>]*$', '', 'gs')"
+# What stands after the first '>' of each piece behind a '<'; a piece without one is all tag.
+_NO_CODE = "regexp_replace(regexp_replace(text, '<script[^>]*>.*?</script[^>]*>', '', 'gis'), '<style[^>]*>.*?</style[^>]*>', '', 'gis')"
+_STRIP = f"replace(array_to_string(list_transform(string_split('>' || {_NO_CODE}, '<'), lambda x: CASE WHEN contains(x, '>') THEN substr(x, strpos(x, '>') + 1) ELSE '' END), ''), '>', '')"
+_SPACE = "[\\s\\x0b\\x{85}\\p{Z}]+"
+
+
+def _lines(text: str) -> str:
+    """The trimmed lines of a text that hold anything, in SQL."""
+    trimmed = f"regexp_replace(s, '^{_SPACE}|{_SPACE}$', '', 'g')"
+    return f"list_filter(list_transform(regexp_split_to_array({text}, '\\r?\\n'), lambda s: {trimmed}), lambda s: s <> '')"
+
+
 ORACLES = {
     "approx_tokens": f"SELECT doc_id, ({_SIZE} // 4)::BIGINT AS tokens FROM documents",
     "humanized_sizes": f"SELECT doc_id, CASE WHEN {_SIZE} >= 1048576 THEN printf('%.1f MB', {_SIZE} / 1048576.0) WHEN {_SIZE} >= 1024 THEN printf('%.1f KB', {_SIZE} / 1024.0) ELSE printf('%.1f B', {_SIZE}::DOUBLE) END AS size FROM documents",
     "canonical_sources": "SELECT doc_id, CASE WHEN trim(coalesce(title, '')) = '' THEN 'mcp://note/' || doc_id::VARCHAR WHEN contains(title, '://') THEN trim(title) ELSE 'mcp://' || trim(title) END AS source FROM documents",
     "stripped_html": f"SELECT doc_id, {_STRIP} AS plain FROM documents WHERE file_type = 'html' AND text IS NOT NULL",
+    "derived_titles": f"WITH t AS (SELECT doc_id, {_lines("coalesce(text, '')")}[1] AS line FROM documents) SELECT doc_id, CASE WHEN line IS NULL THEN '(untitled)' WHEN length(line) > 80 THEN left(line, 77) || '...' ELSE line END AS title FROM t",
+    "collapsed_html": f"WITH h AS (SELECT doc_id, {_STRIP} AS plain FROM documents WHERE file_type = 'html' AND text IS NOT NULL), l AS (SELECT doc_id, {_lines('plain')} AS lines FROM h) SELECT doc_id, CASE WHEN len(lines) > 0 THEN array_to_string(lines, chr(10)) || chr(10) ELSE '' END AS plain FROM l",
     "burst_sessions": f"{_DAY} SELECT event_id, day, burst FROM b",
     "burst_texts": f"{_DAY} SELECT day, burst, count(*) AS n, string_agg(event_type, chr(10) ORDER BY event_id) AS body FROM b GROUP BY day, burst",
     "continued_messages": "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE file_type = 'slack' AND text IS NOT NULL), u AS (SELECT doc_id, unnest(ls) AS text, generate_subscripts(ls, 1) AS line FROM s), m AS (SELECT *, (count(*) FILTER (regexp_matches(text, '^\\[\\d{4}-')) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING))::BIGINT AS message FROM u) SELECT doc_id, message, count(*) AS n_lines, string_agg(text, chr(10) ORDER BY line) AS body FROM m WHERE message > 0 GROUP BY doc_id, message",
     "stall_detect": "WITH c AS (SELECT event_id, user_id, event_type || ' ' || props AS call, lag(event_type || ' ' || props) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) SELECT event_id, user_id FROM c WHERE call = prev",
-    "thread_replies": "WITH m AS (SELECT * FROM message_log WHERE kind = 'slack' AND ts IS NOT NULL AND channel IS NOT NULL), p AS (SELECT channel, ts, min(msg_key) AS parent FROM m GROUP BY ALL) SELECT msg_key, parent FROM m JOIN p USING (channel, ts) WHERE msg_key <> parent",
+    "thread_replies": "SELECT conversation_uuid, parent_uuid, count(*) AS n_replies, string_agg(chr(10) || '> ' || row_id::VARCHAR, '' ORDER BY coalesce(created_at, ''), row_id) AS replies FROM chat_messages WHERE parent_uuid IS NOT NULL GROUP BY ALL",
+    "slack_lines": f"{_SLACK} SELECT msg_key, '[' || minute || ' #' || coalesce(channel, '') || ' @' || coalesce(u.handle, user_ref, '') || CASE WHEN u.display IS NULL THEN '' ELSE ' (' || u.display || ')' END || ']: ' || coalesce(told, '') AS line FROM said LEFT JOIN u ON u.id = user_ref",
+    "slack_users_named": f"{_SLACK} SELECT id, handle, display FROM u",
     "csv_rows_render": "SELECT 'customer.csv#row' || c_custkey::VARCHAR AS record_id, 'csv: customer row ' || c_custkey::VARCHAR || chr(10) || chr(10) || 'name: ' || c_name || chr(10) || 'segment: ' || c_mktsegment || chr(10) AS body FROM customer",
     "csv_grouped": "SELECT (c_custkey // 50)::BIGINT AS part, count(*) AS n, string_agg('-- row ' || c_custkey::VARCHAR || ' --' || chr(10) || 'name: ' || c_name, chr(10) ORDER BY c_custkey) AS body FROM customer GROUP BY 1",
     "revenue_by_nation": "SELECT n_name, year(o_orderdate)::INT AS year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL",
 }
-QUERIES = {name: globals()[name] for name in (*ORACLES, "derived_titles", "collapsed_html", "chunked_documents", "chunked_records")}
+QUERIES = {name: globals()[name] for name in (*ORACLES, "chunked_documents", "chunked_records")}
