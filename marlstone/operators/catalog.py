@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import contains_folded, humanize_bytes
+from marlstone.functions.text import ascii_lower, contains_folded, humanize_bytes
 
 SOURCE_ORDERS = {"name": None, "date": "ingested_at", "chunks": "chunk_count", "records": "record_count"}
 
@@ -89,12 +89,17 @@ def list_collections(collections: DataFrame, memberships: DataFrame) -> DataFram
     return joined.select("id", "name", F.coalesce("n", F.lit(0)).alias("document_count"))
 
 
-def vault_stats(documents: DataFrame, chunks: DataFrame, dims: int, size: Column) -> DataFrame:
-    """document_count, chunk_count, embedding_dims, db_size_human as one row."""
+def by_name(rows: DataFrame, name: str, place: str) -> DataFrame:
+    """Add the place of each row by name, case of ASCII letters ignored, then by id; for short lists such as collections."""
+    return rows.withColumn(place, F.row_number().over(Window.orderBy(ascii_lower(F.col(name)), "id")))
+
+
+def vault_stats(documents: DataFrame, chunks: DataFrame, size: Column) -> DataFrame:
+    """document_count, chunk_count, embedding_dims (0 without a vector), db_size_human as one row."""
     n = documents.agg(F.count("*").alias("document_count"), F.sum(size).alias("bytes"))
-    m = chunks.agg(F.count("*").alias("chunk_count"))
+    m = chunks.agg(F.count("*").alias("chunk_count"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("embedding_dims"))
     # Two frames of one row each.
-    return n.join(F.broadcast(m), F.lit(True)).select("document_count", "chunk_count", F.lit(dims).alias("embedding_dims"), humanize_bytes(F.coalesce("bytes", F.lit(0))).alias("db_size_human"))
+    return n.join(F.broadcast(m), F.lit(True)).select("document_count", "chunk_count", "embedding_dims", humanize_bytes(F.coalesce("bytes", F.lit(0))).alias("db_size_human"))
 
 
 def collection_source_paths(documents: DataFrame, members: DataFrame) -> DataFrame:

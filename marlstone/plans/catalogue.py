@@ -77,12 +77,14 @@ def list_tags(spark, base):
 
 
 def list_collections(spark, base):
-    return c.list_collections(views.collections(spark), views.memberships(spark, base))
+    """Collections by name, case ignored; the place is part of the row."""
+    rows = c.list_collections(views.collections(spark), views.memberships(spark, base))
+    return c.by_name(rows, "name", "place")
 
 
 def vault_stats(spark, base):
     size = F.coalesce(F.octet_length("raw_text"), F.lit(0)).cast("long")
-    return c.vault_stats(views.documents(spark, base), views.chunks(spark, base), 64, size)
+    return c.vault_stats(views.documents(spark, base), views.chunks(spark, base), size)
 
 
 def collection_source_paths(spark, base):
@@ -96,8 +98,10 @@ def filter_existing_ids(spark, base):
 
 
 def _hashed(spark, base):
-    r = table(spark, base, "records").where("record_id IS NOT NULL AND body IS NOT NULL")
-    return r.select("rec_key", "batch_id", record_hash(F.col("record_id"), F.col("body")).alias("sha256"))
+    """Every row with the hash of its record; null ids and bodies count as empty, a null batch as the history."""
+    r = table(spark, base, "records")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return r.select("rec_key", F.coalesce("batch_id", F.lit(0)).alias("batch_id"), record_hash(text("record_id"), text("body")).alias("sha256"))
 
 
 def record_hashes(spark, base):
@@ -161,7 +165,7 @@ def collection_remove(spark, base):
 _SRC = "SELECT source_path AS path, min(file_type) AS file_type, count(DISTINCT d.document_id) AS record_count, count(c.chunk_id) AS chunk_count, max(ingested_at) AS ingested_at FROM docs d LEFT JOIN chunks c ON c.document_id = d.document_id"
 _DOC = """SELECT d.document_id, source_path, title, file_type, (SELECT count(*) FROM chunks c WHERE c.document_id = d.document_id) AS chunk_count, ingested_at,
  coalesce((SELECT string_agg(m.collection_id::VARCHAR, ',' ORDER BY m.collection_id) FROM members m WHERE m.document_id = d.document_id), '') AS collection_ids FROM docs d"""
-_HASH = "SELECT rec_key, batch_id, sha256(encode(record_id) || '\\x00'::BLOB || encode(body)) AS sha256 FROM records WHERE record_id IS NOT NULL AND body IS NOT NULL"
+_HASH = "SELECT rec_key, coalesce(batch_id, 0) AS batch_id, sha256(encode(coalesce(record_id, '')) || '\\x00'::BLOB || encode(coalesce(body, ''))) AS sha256 FROM records"
 _LOWER = "translate(source_path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -183,8 +187,8 @@ ORACLES = {
     "get_document": f"WITH {SQL_VIEWS} SELECT document_id, source_path, title, raw_text FROM docs WHERE source_path = '{PATH}' ORDER BY ingest_seq LIMIT 1",
     "list_file_types": f"WITH {SQL_VIEWS} SELECT file_type, count(DISTINCT source_path) AS source_count FROM docs GROUP BY file_type",
     "list_tags": f"WITH {SQL_VIEWS} SELECT tag, count(DISTINCT document_id) AS document_count FROM tags GROUP BY tag",
-    "list_collections": f"WITH {SQL_VIEWS} SELECT id, name, (SELECT count(*) FROM members m WHERE m.collection_id = c.id) AS document_count FROM collections c",
-    "vault_stats": f"""WITH {SQL_VIEWS}, b AS (SELECT count(*) AS n, coalesce(sum(octet_length(encode(raw_text))), 0)::DOUBLE AS s FROM docs) SELECT n AS document_count, (SELECT count(*) FROM chunks) AS chunk_count, 64 AS embedding_dims,
+    "list_collections": f"WITH {SQL_VIEWS} SELECT id, name, (SELECT count(*) FROM members m WHERE m.collection_id = c.id) AS document_count, row_number() OVER (ORDER BY name COLLATE NOCASE, id) AS place FROM collections c",
+    "vault_stats": f"""WITH {SQL_VIEWS}, b AS (SELECT count(*) AS n, coalesce(sum(octet_length(encode(raw_text))), 0)::DOUBLE AS s FROM docs) SELECT n AS document_count, (SELECT count(*) FROM chunks) AS chunk_count, (SELECT max(len(embedding))::INT FROM embeddings) AS embedding_dims,
  CASE WHEN s >= 1024**4 THEN printf('%.1f TB', s / 1024**4) WHEN s >= 1024**3 THEN printf('%.1f GB', s / 1024**3) WHEN s >= 1024**2 THEN printf('%.1f MB', s / 1024**2) WHEN s >= 1024 THEN printf('%.1f KB', s / 1024) ELSE printf('%.1f B', s) END AS db_size_human FROM b""",
     "collection_source_paths": f"WITH {SQL_VIEWS} SELECT DISTINCT source_path FROM docs JOIN members USING (document_id) WHERE collection_id = 3",
     "filter_existing_ids": "SELECT vec_id AS pos, vec_id AS document_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)",
