@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.operators.prefilter import likely_in
 from marlstone.tables import table
 
 KINDS = ("abusive", "hateful", "sexual")
@@ -238,7 +239,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
     target = F.when(F.col("toxic") == 0, 0).when(kind > 0, kind).otherwise(4)
     rated = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", target.alias("target"), F.xxhash64("doc_id", F.coalesce("rater", F.lit("")), target).alias("h"))
     rated = rated.orderBy("h").limit(fit_rows)
-    sample = rated.join(docs.select("doc_id", "text").where(F.col("text").isNotNull()), "doc_id")
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    sample = rated.join(likely_in(texts, rated, "doc_id"), "doc_id")  # only rated texts go through the shuffle
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
