@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIMENSIONS = 384
+#: Token ids that a model takes at most, and the id that ends a text (fixed values of the models).
+MOST_TOKENS, END_OF_TEXT = 512, 102
+# Models of these names stand for a text by its first token.
+FIRST_TOKEN_MODELS = ("bge-", "snowflake-arctic", "multilingual-e5", "e5-")
 
 
 def hashing_model(texts: list[str], dims: int = DIMENSIONS) -> np.ndarray:
@@ -26,6 +30,26 @@ def hashing_model(texts: list[str], dims: int = DIMENSIONS) -> np.ndarray:
     return out / np.where(norm > 0, norm, 1)
 
 
+def bounded_ids(ids: list[int], most: int = MOST_TOKENS, end: int = END_OF_TEXT) -> list[int]:
+    """Token ids within a model's bound; of longer ones the last is the end of the text."""
+    return list(ids) if len(ids) <= most else [*ids[: most - 1], end]
+
+
+def pooled(tokens: np.ndarray, mask: np.ndarray, model: str) -> np.ndarray:
+    """Text vectors of length 1 out of token vectors (texts, tokens, dims) and their mask (texts, tokens).
+
+    The first token's vector, or the mean of those in the mask, as the model's name asks
+    for; zero where the mask is empty or the vector has no length.
+    """
+    if model.startswith(FIRST_TOKEN_MODELS):
+        out = tokens[:, 0].astype(np.float64)
+    else:
+        weights = mask.astype(np.float64)
+        out = np.einsum("tkd,tk->td", tokens, weights) / np.maximum(weights.sum(axis=1, keepdims=True), 1)
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm > 0, norm, 1)
+
+
 def embed(text: Column, load: Callable[[], Callable[[list[str]], np.ndarray]] = lambda: hashing_model) -> Column:
     """Vectors of a text column; `load` runs once per task. Null texts get null."""
 
