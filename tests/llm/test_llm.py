@@ -5,9 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import encode, leaks, threads, toxicity
+from marlstone.llm import encode, leaks, personal, threads, toxicity
 from marlstone.llm.message_text import message_words
-from marlstone.llm.personal import Names, find_personal, personal_information, redact
+from marlstone.llm.personal import Names, find_personal, learn_names, personal_information, redact
 from marlstone.llm.vector_cells import VectorCells, common_subsequence
 from marlstone.session import scratch
 
@@ -178,6 +178,10 @@ NAMES = Names(["Anna Jorvold", "Otto Jorwick", "Rosa Jordahl", "Hugo Jorette", "
         ("Dr. Anna Jorvold, Belwick, Otto and R. Jordahl", [("name", "Anna Jorvold"), ("name", "Belwick, Otto"), ("name", "R. Jordahl")]),
         ("call +one five five one two three four six one two or ZERO SEVEN-SEVEN ZERO ZERO NINE ZERO ZERO ONE THREE EIGHT, nine", [("phone", "+one five five one two three four six one two"), ("phone", "ZERO SEVEN-SEVEN ZERO ZERO NINE ZERO ZERO ONE THREE EIGHT")]),
         ("git@code.example:tools, order 9800-1127-5, 10.0.0.17, version 4.12.0, @anna12, Amber Falcon, Anna said", []),
+        ("ssn five five five dash one two dash three four five six", [("idnum", "five five five dash one two dash three four five six")]),
+        ("FOUR ONE five five five five zero one eight eight or 4155550188", [("phone", "FOUR ONE five five five five zero one eight eight")]),
+        ("a[at]b[dot]c (dot) org, the dot product at home", [("email", "a[at]b[dot]c (dot) org")]),
+        ("y" * 500 + "@x.example", [("email", "y" * 500 + "@x.example")]),
         ("", []),
         (None, []),
     ],
@@ -192,6 +196,14 @@ def test_redaction_keeps_the_rest(spark):
     assert [tuple(r) for r in personal_information(df, "k", "body", NAMES).collect()] == [(1, "email", "a@b.example")]
 
 
+def test_more_names_than_tasks_can_hold_are_an_error(spark, monkeypatch):
+    users = spark.createDataFrame([("Anna Lee",), ("Bob Ray",), ("Anna Lee",), (None,)], "real_name string")
+    assert learn_names(users).given == {"anna", "bob"}
+    monkeypatch.setattr(personal, "MOST_NAMES", 1)
+    with pytest.raises(ValueError):
+        learn_names(users)
+
+
 def turns(spark, rows):
     messages = spark.createDataFrame(rows, "conv string, msg string, ref long, parent string, idx long, role string, blank boolean, at long")
     out = threads.kept_turns(threads.conversation_positions(messages)).collect()
