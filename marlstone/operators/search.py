@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import fold_words, query_terms
 from marlstone.functions.vectors import cosine
+from marlstone.operators.catalog import clamp
 from marlstone.operators.fulltext import TextIndex, indexed
 from marlstone.operators.ranking import split_rank
 
 RRF_K, SPARSE_POOL = 60, 200
+MOST_HITS, WIDEST_CONTEXT = 100, 20  # bounds of a page and of a context
 
 
 @dataclass(frozen=True)
@@ -90,16 +92,16 @@ def search(chunks: DataFrame, documents: DataFrame, tags: DataFrame, vector: lis
 
 
 def page(hits: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """One page by falling score, equal ones by chunk_id."""
-    return hits.orderBy(F.col("score").desc(), "chunk_id").offset(max(0, offset)).limit(max(0, limit))
+    """One page by falling score, equal ones by chunk_id; of MOST_HITS hits at most."""
+    return hits.orderBy(F.col("score").desc(), "chunk_id").offset(max(0, offset)).limit(clamp(limit, 0, MOST_HITS))
 
 
 def chunk_context(chunks: DataFrame, centres: DataFrame, before: int = 2, after: int = 2) -> DataFrame:
     """The chunks around each centre (chunk_id) within its document, by chunk_index.
 
-    Negative widths count as 0; unknown centres give nothing; no chunk of another document
+    Widths are clamped to 0 and WIDEST_CONTEXT; unknown centres give nothing; no chunk of another document
     is reached. Result: centre, chunk_id, document_id, chunk_index, text.
     """
     mid = centres.select("chunk_id").distinct().join(chunks, "chunk_id").select(F.col("chunk_id").alias("centre"), "document_id", F.col("chunk_index").alias("_at"))
-    near = F.col("chunk_index").between(F.col("_at") - max(0, before), F.col("_at") + max(0, after))
+    near = F.col("chunk_index").between(F.col("_at") - clamp(before, 0, WIDEST_CONTEXT), F.col("_at") + clamp(after, 0, WIDEST_CONTEXT))
     return mid.join(chunks, "document_id").where(near).select("centre", "chunk_id", "document_id", "chunk_index", "text")

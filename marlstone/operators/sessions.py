@@ -24,9 +24,9 @@ def bursts(messages: DataFrame, group: list[str], order: list[Column], user: str
     return marked.withColumn("burst", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")
 
 
-def burst_bodies(numbered: DataFrame, group: list[str], position: str, text: str) -> DataFrame:
+def burst_bodies(numbered: DataFrame, group: list[str], order: list[str], text: str) -> DataFrame:
     """group, burst, n, body: the texts of each burst in order, one line each."""
-    ordered = F.sort_array(F.collect_list(F.struct(position, text)))
+    ordered = F.sort_array(F.collect_list(F.struct(*order, text)))
     return numbered.groupBy(*group, "burst").agg(F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda m: m[text]), "\n").alias("body"))
 
 

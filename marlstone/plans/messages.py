@@ -66,7 +66,7 @@ def burst_sessions(spark, base):
 def burst_texts(spark, base):
     days = _events(spark, base).withColumn("day", F.floor(F.col("second") / 86400))
     numbered = sessions.bursts(days, ["day"], [F.col("ts"), F.col("event_id")])
-    return sessions.burst_bodies(numbered, ["day"], "event_id", "event_type")
+    return sessions.burst_bodies(numbered, ["day"], ["ts", "event_id"], "event_type")
 
 
 def continued_messages(spark, base):
@@ -161,7 +161,7 @@ ORACLES = {
     "derived_titles": f"WITH t AS (SELECT doc_id, {_lines("coalesce(text, '')")}[1] AS line FROM documents) SELECT doc_id, CASE WHEN line IS NULL THEN '(untitled)' WHEN length(line) > 80 THEN left(line, 77) || '...' ELSE line END AS title FROM t",
     "collapsed_html": f"WITH h AS (SELECT doc_id, {_STRIP} AS plain FROM documents WHERE file_type = 'html' AND text IS NOT NULL), l AS (SELECT doc_id, {_lines('plain')} AS lines FROM h) SELECT doc_id, CASE WHEN len(lines) > 0 THEN array_to_string(lines, chr(10)) || chr(10) ELSE '' END AS plain FROM l",
     "burst_sessions": f"{_DAY} SELECT event_id, day, burst FROM b",
-    "burst_texts": f"{_DAY} SELECT day, burst, count(*) AS n, string_agg(event_type, chr(10) ORDER BY event_id) AS body FROM b GROUP BY day, burst",
+    "burst_texts": f"{_DAY} SELECT day, burst, count(*) AS n, string_agg(event_type, chr(10) ORDER BY ts, event_id) AS body FROM b GROUP BY day, burst",
     "continued_messages": "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE file_type = 'slack' AND text IS NOT NULL), u AS (SELECT doc_id, unnest(ls) AS text, generate_subscripts(ls, 1) AS line FROM s), m AS (SELECT *, (count(*) FILTER (regexp_matches(text, '^\\[\\d{4}-')) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING))::BIGINT AS message FROM u) SELECT doc_id, message, count(*) AS n_lines, string_agg(text, chr(10) ORDER BY line) AS body FROM m WHERE message > 0 GROUP BY doc_id, message",
     "stall_detect": "WITH c AS (SELECT event_id, user_id, event_type || ' ' || props AS call, lag(event_type || ' ' || props) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) SELECT event_id, user_id FROM c WHERE call = prev",
     "thread_replies": "SELECT conversation_uuid, parent_uuid, count(*) AS n_replies, string_agg(chr(10) || '> ' || row_id::VARCHAR, '' ORDER BY coalesce(created_at, ''), row_id) AS replies FROM chat_messages WHERE parent_uuid IS NOT NULL GROUP BY ALL",
