@@ -51,20 +51,18 @@ def test_dedup_batch_by_batch_equals_brute_force(spark):
         base = message(i)
         for j in range(i % 4):
             key += 1
-            rows.append((key, f"r{i}", f"[2024-01-01 10:00 #x @y]: {changed(base, key, 0.05 * j)}", key % 5))
+            rows.append((key, f"r{i}", f"[2024-01-01 10:00 #x @y]: {changed(base, key, 0.05 * j)}", key % 3))
     hot = message(1000)
-    rows += [(1000 + k, None, f"FYI — [2024-01-01 10:00 #x @y]: {changed(hot, k, 0.04)}", k % 5) for k in range(40)]
-    rows += [(2000, "s", "short one", 0), (2001, "s", "short one", 1), (2002, None, "short one", 2), (2003, None, None, 3), (2004, "b", "  ", 3)]
+    rows += [(1000 + k, None, f"FYI — [2024-01-01 10:00 #x @y]: {changed(hot, k, 0.04)}", k % 3) for k in range(40)]
+    rows += [(2000, "s", "short one", 0), (2001, "s", "short one", 1), (2002, None, "short one", 2), (2003, None, None, 2), (2004, "b", "  ", 2)]
     df = spark.createDataFrame(rows, RECORDS)
     want = brute(rows)
-    by_batch = VectorCells(spark, scratch(spark, "t"))
-    got = {r.dup_key: r.kept_key for b in range(5) for r in by_batch.append(df.where(F.col("batch_id") == b)).collect()}
-    assert got == want and len(want) > 30
-    bulk = VectorCells(spark, scratch(spark, "t")).append(df).collect()
-    assert {r.dup_key: r.kept_key for r in bulk} == want
+    index = VectorCells(spark, scratch(spark, "t"))
+    got = {r.dup_key: r.kept_key for r in index.append(df).collect()}
+    assert got == want and len(want) > 30 and index.appends == 3
 
 
-def test_dedup_keeps_the_nearest_in_one_append_as_in_several(spark):
+def test_dedup_keeps_the_nearest(spark):
     v1 = message(7, 100).split()
     v2 = [f"x{i}" if i % 5 == 0 or i == 1 else w for i, w in enumerate(v1)]
     v3 = [v1[i] if i in (0, 25, 50, 75) else w for i, w in enumerate(v2)]
@@ -78,8 +76,6 @@ def test_dedup_keeps_the_nearest_in_one_append_as_in_several(spark):
     df = spark.createDataFrame(rows, RECORDS)
     want = brute(rows)
     assert want[3] == 2
-    by_batch = VectorCells(spark, scratch(spark, "t"))
-    assert {r.dup_key: r.kept_key for b in range(3) for r in by_batch.append(df.where(F.col("batch_id") == b)).collect()} == want
     assert {r.dup_key: r.kept_key for r in VectorCells(spark, scratch(spark, "t")).append(df).collect()} == want
 
 
