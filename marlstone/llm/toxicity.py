@@ -255,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataF
             kept = [batch.column(c) for c in ("h", "target")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([len(t) for t in texts], pa.int32()), *lists], names=["h", "target", "n", "rows", "cols"])
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:  # one group of at most fit_rows rows
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:  # one group of at most fit_rows rows
         frame = frame.sort_values(["h", "n"])
         sizes = frame["n"].tolist()
         firsts = np.cumsum([0, *sizes[:-1]])
