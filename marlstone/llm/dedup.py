@@ -13,8 +13,8 @@ from marlstone.tables import table
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
     """kept_key, dup_key of each rejected row and the accepted row it repeats.
 
-    The table holds all batches; they are appended to a new index one after the other, as
-    they arrived, each read by a filter that reaches the scan.
+    The table holds all batches; they are appended to a new index in one call, which gives
+    the rows of one call per batch.
     """
     rows = table(spark, base, "records").select("rec_key", "record_id", "body", "batch_id")
     index = VectorCells(spark, scratch(spark, "vector-cells"))

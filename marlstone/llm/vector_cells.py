@@ -1,24 +1,22 @@
-"""New batches deduplicated against all history: a persisted inverted file of message vectors.
-
-A message is the vector of its words in order. It is filed in cells of an inverted file:
-it is cut into consecutive segments of a few words, and its rarer segments are its cells.
-An entry of a cell holds the length of the message and a sketch of its words, which bound
-its distance from any other message.
-
-Probing. A message looks up every run of words that could be a segment, so a filed message
-is met in each of its cells that the message holds unchanged. A place where the two differ
-(words changed, dropped or added there) spoils one segment of the filed message at most:
-one that is met in none of its `s` cells differs in `s` places or more. `s` is a fifth of
-the words and one more, so that a message differing in fewer places, and thus anything
-near, is met with certainty. Segments that are frequent
-are filed only while the message has fewer than a tenth of its words in cells.
-
-What is met is put in order of the least distance that lengths and sketches allow, and
-compared exactly, nearest first, until no nearer match is possible.
-
-Only accepted messages are filed, so a group of copies counts once. Cells are bucketed
-tables: an append shuffles the runs of the new batch that may hit an occupied cell, and
-reads the cells where they lie. The manifest of the folder names what has been appended.
+"""New batches deduplicated against all history: an inverted file of message vectors.
+
+A message is the vector of its words. Its cells are triples of words, in the order of the
+text, chosen so that two messages that are the same always share one (see signatures()):
+
+* Words are put in one order for all messages, rare ones first. Of two messages that are
+  the same at least `c` words stand in both in the same order, `c` being four fifths of the
+  longer one's. So of the first `n - c + k` words of either, in that order, the first `k` of
+  the common ones are among both.
+* These words are dealt into `g` groups by a hash of the word, and `k` is `2 g + 1`. So three
+  of the common ones lie in one group. Every three words of a group are a cell.
+
+Nothing depends on how rare words are in truth: that only makes the cells small. An entry of
+a cell holds the length of the message and a sketch of its words, which bound its distance
+from any other; what they allow is compared exactly.
+
+Only accepted messages stay, so a group of copies counts once. The manifest of the folder
+names what has been appended. As no pair is missed, one append of many batches gives the
+rows of as many appends of one batch.
 """
 
 from __future__ import annotations
@@ -27,33 +25,40 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm.message_text import message_words
+from marlstone.operators.prefilter import likely_in, without
 from marlstone.session import Scratch, file_system
 
 LEAST_WORDS = 8
 SAME = 0.8
-#: Rows of the first batch on which frequent runs are fitted, about this many at most. A run
-#: in more than one of FREQUENT of them is frequent; so there are at most FREQUENT times the
-#: mean number of runs of a message of these, whatever the size of the data.
-FIT_ROWS, FREQUENT, LEAST_FREQUENT = 20_000, 1000, 10
-#: Words of a segment, for messages of fewer words than the bound.
+#: Rows of the first call on which frequent words are fitted, about this many at most. A word
+#: in more than LEAST_FREQUENT of them is frequent; so the words of these rows bound their number.
+FIT_ROWS, LEAST_FREQUENT = 20_000, 10
+#: Words of a segment, for messages of fewer words than the bound. Segments only tell copies
+#: apart in fit_frequent(); cells_of() and CROWDED remain for callers of the earlier index.
 SEGMENTS = ((16, 2), (40, 3), (1 << 31, 4))
-#: The occupancy map of the cells has two to this power of bits, 64 to a row (here 2^18
-#: rows, or 4 MB). It thins out the runs that are looked up, and loses none; a fuller map
-#: only thins out less, so a large index takes more.
-OCCUPANCY_BITS = 24
-#: Messages that a cell of a batch holds on the average, each counted by the size of its
-#: cells, from which on they are first held against the first of the cell.
 CROWDED = 16
+#: Groups of the words of a message, as a share of its words; and from how many words on the
+#: triples of a group are listed one after the other.
+GROUPS, LARGE_GROUP = 0.12, 12
+#: Longs of a sketch, and the share of messages with the most frequent word from which on a
+#: word is too frequent to tell messages apart, and is no part of sketches.
+SKETCH, TELLING = 3, 1 / 4
+#: Rows of cells held at once by a task, and pairs compared at once.
+CHUNK_ROWS, CHUNK_PAIRS = 200_000, 2_000_000
+_SKETCHES = [f"s{i}" for i in range(SKETCH)]
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _known: dict[str, int] = {}
 
@@ -94,7 +99,7 @@ def seen(runs: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarra
 
 
 def cells_of(runs: np.ndarray, cost: np.ndarray, n: int) -> np.ndarray:
-    """The cells that a message of n words is filed in: its rarest segments, of the best place to begin."""
+    """The rarest segments of a message of n words, of the best place to begin. Not of use for all repeats: see signatures()."""
     k, need = segment_words(n), n // 5 + 1
     if not cost[::k][:need].any():
         return np.unique(runs[::k][:need])
@@ -114,11 +119,16 @@ def probed_sizes(n: int) -> set[int]:
     return {segment_words(m) for m in (-(-n * 4 // 5), n, n * 5 // 4)}
 
 
+def _bits(codes: np.ndarray, of: np.ndarray, messages: int) -> np.ndarray:
+    """Per message SKETCH signed numbers, whose bits are set at a hash of each of its words."""
+    bits = np.zeros((messages, 64 * SKETCH), np.uint8)
+    bits[of, ((codes * _MIX[1] >> np.uint64(32)) * np.uint64(64 * SKETCH) >> np.uint64(32)).view(np.int64)] = 1
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+
+
 def sketch_of(codes: np.ndarray) -> np.ndarray:
-    """128 bits, as two signed numbers, set at a hash of each word."""
-    bits = np.zeros(128, np.uint8)
-    bits[(codes * _MIX[1] >> np.uint64(57)).view(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").view(np.int64)
+    """The sketch of one message: a word that it lacks of another's spoils one bit at most."""
+    return _bits(codes, np.zeros(len(codes), np.int64), 1)[0]
 
 
 class _Batch:
@@ -127,7 +137,10 @@ class _Batch:
     def __init__(self, texts: list[list[str]]) -> None:
         self.ends = np.cumsum([0, *map(len, texts)])
         self.codes = np.array([word_code(w) for words in texts for w in words], np.uint64)
-        self.runs = {k: run_codes(self.codes, k) for _, k in SEGMENTS}
+
+    @cached_property
+    def runs(self) -> dict[int, np.ndarray]:
+        return {k: run_codes(self.codes, k) for _, k in SEGMENTS}
 
     def __iter__(self) -> Iterator[tuple[int, int]]:
         return zip(self.ends[:-1].tolist(), self.ends[1:].tolist())
@@ -162,19 +175,19 @@ def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """k, short, h1, h2, n, text of rows (k, record_id, body).
+    """b, k, short, h1, h2, n, text of rows (b, k, record_id, body).
 
     `short` is the key of a message of fewer than LEAST_WORDS words: its record_id and
     body; null, as are the keys of rows without record_id, for longer ones. h1 and h2 are
     128 bits of the words. Rows with a null or blank body are left out.
     """
-    names = ["k", "short", "h1", "h2", "n", "text"]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+    names = ["b", "k", "short", "h1", "h2", "n", "text"]
+    types = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for k, record, body in zip(*(batch.column(c).to_pylist() for c in ("k", "record_id", "body"))):
+            for b, k, record, body in zip(*(batch.column(c).to_pylist() for c in ("b", "k", "record_id", "body"))):
                 if not body or body.isspace():
                     continue
                 words = message_words(body)
@@ -182,144 +195,215 @@ def parsed(rows: DataFrame) -> DataFrame:
                     if record is None:
                         continue
                     key = xxhash.xxh128_hexdigest(f"{len(record)} {record}{body}".encode("utf-8", "surrogatepass"))
-                    row = (k, key, None, None, len(words), None)
+                    row = (b, k, key, None, None, len(words), None)
                 else:
                     text = " ".join(words)
                     h1, h2 = np.frombuffer(xxhash.xxh128_digest(text.encode("utf-8", "surrogatepass")), np.int64)
-                    row = (k, None, int(h1), int(h2), len(words), text)
+                    row = (b, k, None, int(h1), int(h2), len(words), text)
                 for column, value in zip(out, row):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
-    return rows.select("k", "record_id", "body").mapInArrow(run, "k long, short string, h1 long, h2 long, n int, text string")
+    return rows.select("b", "k", "record_id", "body").mapInArrow(run, "b int, k long, short string, h1 long, h2 long, n int, text string")
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.array([], np.int64)])))
+def groups_of(n: np.ndarray) -> np.ndarray:
+    """Groups of the words of a pair whose longer message has n words: a power of two."""
+    return (1 << np.round(np.log2(np.maximum(1, n * GROUPS))).astype(np.int64)).astype(np.int64)
+
 
+def _hash(*parts: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(parts[0]), np.uint64)
+    for part, mix in zip(parts, _MIX):
+        out = (out + part.astype(np.uint64)) * mix
+        out ^= out >> np.uint64(31)
+    return out
 
-def vectors(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Add s1, s2 (sketch) and cells to rows with a text of words."""
+
+def _triples(words: list[int]) -> set[tuple[int, ...]]:
+    """The different triples of words in their order, however often a word is repeated."""
+    found: list[set[tuple[int, ...]]] = [{()}, set(), set(), set()]
+    for word in words:
+        for size in (2, 1, 0):
+            found[size + 1] |= {(*t, word) for t in found[size]}
+    return found[3]
+
+
+def signatures(made: _Batch, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cells of each message of a batch: its number, the rarest of three words, a hash of all three.
+
+    Each cell of a message comes once, in the order of these columns. A message is filed
+    for the number of groups of each partner that it may have, as the longer one decides.
+    """
+    codes, starts, lengths = made.codes, made.ends[:-1], np.diff(made.ends)
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    weights = seen(codes.view(np.int64), frequent).astype(np.uint64) << np.uint64(32) | codes
+    ranked = np.lexsort((weights, of))
+    rank = np.arange(len(codes)) - starts[of]  # of is the same in either order
+    least, most = groups_of(lengths), groups_of(lengths * 5 // 4)
+    total, cells = max(1, len(codes)), []
+    for g in np.unique(np.concatenate([least, most])).tolist():
+        taken = lengths - (lengths * 4 + 4) // 5 + 2 * g + 1
+        taken[(least != g) & (most != g)] = 0
+        places = ranked[rank < taken[of]]
+        group = (_hash(codes[places]) >> np.uint64(20)).astype(np.int64) & (g - 1)
+        dealt = np.sort((of[places] * g + group) * total + places)
+        places, run = dealt % total, dealt // total
+        first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]][: len(run)])
+        sizes = np.diff(np.r_[first, len(run)])
+        for size in np.unique(sizes[sizes >= 3]).tolist():
+            begin = first[sizes == size]
+            if size <= LARGE_GROUP:
+                chosen = np.array(list(combinations(range(size), 3)))
+                at = places[(begin[:, None, None] + chosen[None]).reshape(-1, 3)]
+                parts, message = weights[at], of[at[:, 0]]
+            else:
+                listed = [(of[places[b]], t) for b in begin.tolist() for t in _triples(weights[places[b : b + size]].tolist())]
+                parts, message = np.array([t for _, t in listed], np.uint64), np.array([m for m, _ in listed])
+            words = parts & np.uint64(0xFFFFFFFF)
+            cells.append((message, parts.min(axis=1) & np.uint64(0xFFFFFFFF), _hash(*words.T, np.full(len(words), g)) >> np.uint64(32)))
+    if not cells:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    message, lead, rest = (np.concatenate(c) for c in zip(*cells))
+    major = message.astype(np.uint64) << np.uint64(32) | lead
+    order = np.lexsort((rest, major))
+    major, rest = major[order], rest[order]
+    new = np.r_[True, (major[1:] != major[:-1]) | (rest[1:] != rest[:-1])]
+    major, rest = major[new], rest[new]
+    return (major >> np.uint64(32)).astype(np.int64), major & np.uint64(0xFFFFFFFF), rest
+
+
+def entries(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """lead, cells of the rows (b, k, n, text): per rarest word of a cell one row, with all cells of that word."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
-    schema = T.StructType([*texts.schema.fields, *(T.StructField(s, T.LongType()) for s in ("s1", "s2")), T.StructField("cells", T.ArrayType(T.LongType()))])
+    names = ["lead", "b", "k", "n", *_SKETCHES, "cells"]
+    most = frequent[1].max(initial=0) * TELLING
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = _Batch([t.split(" ") for t in batch.column("text").to_pylist()])
-            cost = {k: seen(runs, shared.value) for k, runs in made.runs.items()}
-            sketches, cells = [np.zeros((0, 2), np.int64)], []
-            for start, end in made:
-                k = segment_words(end - start)
-                sketches.append(sketch_of(made.codes[start:end]).reshape(1, 2))
-                cells.append(cells_of(made.runs[k][start : end - k + 1], cost[k][start : end - k + 1], end - start))
-            more = np.concatenate(sketches)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(more[:, 0]), pa.array(more[:, 1]), _lists(cells)], names=schema.names)
-
-    return texts.mapInArrow(run, schema)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 2000):
+                batch = whole.slice(begin, 2000)
+                made = _Batch([t.split(" ") for t in batch.column("text").to_pylist()])
+                telling = np.flatnonzero(seen(made.codes.view(np.int64), shared.value) <= most)
+                sketches = _bits(made.codes[telling], np.searchsorted(made.ends, telling, "right") - 1, batch.num_rows)
+                message, lead, rest = signatures(made, shared.value)
+                first = np.flatnonzero(np.r_[True, (message[1:] != message[:-1]) | (lead[1:] != lead[:-1])][: len(lead)])
+                offsets = pa.py_buffer((np.r_[first, len(lead)] * 4).astype(np.int32))
+                cells = pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(rest.astype("<u4"))])
+                of = message[first]
+                columns = [pa.array(lead[first].astype(np.int64)), *(batch.column(c).take(pa.array(of)) for c in ("b", "k", "n"))]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(sketches[of, i]) for i in range(SKETCH)), cells], names=names)
+
+    return texts.select("b", "k", "n", "text").mapInArrow(run, "lead long, b int, k long, n int, " + "".join(f"{c} long, " for c in _SKETCHES) + "cells binary")
 
 
 def fit_frequent(rows: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """run, n of the runs in more than one of FREQUENT messages of a bounded sample.
+    """word, n of the words in more than LEAST_FREQUENT messages of a bounded sample.
 
     Of the sampled messages with an equal smallest run code only one counts, lest copies
-    of one message make its runs look frequent.
+    of one message make its words look frequent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             long = [w for w in map(message_words, batch.column("body").to_pylist()) if len(w) >= LEAST_WORDS]
             made = _Batch(long)
-            found = [np.unique(made.probes(start, end)) for start, end in made]
-            yield pa.RecordBatch.from_arrays([pa.array([int(f[0]) for f in found], pa.int64()), _lists(found)], names=["least", "runs"])
+            least = [int(made.probes(start, end).min()) for start, end in made]
+            words = [np.unique(made.codes[start:end]).astype(np.int64) for start, end in made]
+            yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), _lists(words)], names=["least", "words"])
 
     bodies = rows.where("body IS NOT NULL").select("k", "body")
     share = min(1.0, fit_rows / max(1, bodies.count()))
     sample = bodies.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    one = sample.mapInArrow(run, "least long, runs array<long>").groupBy("least").agg(F.min("runs").alias("runs"))
-    counts = one.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count("*").cast("int").alias("n"))
-    least = max(LEAST_FREQUENT, fit_rows * share // FREQUENT)
-    return counts.where(F.col("n") > least)
+    one = sample.mapInArrow(run, "least long, words array<long>").groupBy("least").agg(F.min("words").alias("words"))
+    counts = one.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").cast("int").alias("n"))
+    return counts.where(F.col("n") > LEAST_FREQUENT)
 
 
-def occupancy(cells: DataFrame, bits: int = OCCUPANCY_BITS) -> DataFrame:
-    """row, bits: which cells are in use, at most 2^(bits - 6) rows of 16 bytes."""
-    at = f"shiftrightunsigned(cell, {64 - bits})"
-    return cells.groupBy(F.expr(f"shiftright({at}, 6)").alias("row")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({at} & 63 as int))")).alias("bits"))
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.array([], np.int64)])))
 
 
-def probing(nodes: DataFrame, occupied: DataFrame, bits: int, columns: list[str]) -> DataFrame:
-    """cell and columns of the probing message, of the runs that may hit an occupied cell."""
-    rows = occupied.toPandas()  # bounded, see occupancy()
-    marks = np.zeros(1 << max(0, bits - 6), np.uint64)
-    marks[rows["row"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    shared = nodes.sparkSession.sparkContext.broadcast(marks)
-    schema = T.StructType([T.StructField("cell", T.LongType()), *(nodes.schema[c] for c in columns)])
+def _spread(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each row's number with each number from begin to end, CHUNK_PAIRS or so at a time."""
+    sizes = np.maximum(0, end - begin)
+    upto = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK_PAIRS, "right")))
+        own = sizes[at:to]
+        x = np.repeat(np.arange(at, to), own)
+        yield x, np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own) + begin[x]
+        at = to
+
+
+def _unique(pairs: list[np.ndarray]) -> np.ndarray:
+    """The different columns of these arrays; their first three rows tell them apart."""
+    whole = np.concatenate([np.zeros((6, 0), np.int64), *pairs], axis=1)
+    whole = whole[:, np.lexsort((whole[1], whole[0]))]
+    return whole[:, np.r_[True, (whole[0][1:] != whole[0][:-1]) | (whole[1][1:] != whole[1][:-1])][: whole.shape[1]]]
+
+
+def met(rows: pa.Table, since: int) -> pa.RecordBatch:
+    """kx, bx, ky, by of the pairs (y the earlier one) in these cells that may be the same, one of them of append `since` or later."""
+    sizes = pc.binary_length(rows.column("cells")).to_numpy() // 4
+    rest = np.frombuffer(b"".join(rows.column("cells").to_pylist()), "<u4")
+    row = np.repeat(np.arange(rows.num_rows), sizes)
+    lead, b, k, n, *sketches = (rows.column(c).to_numpy() for c in ("lead", "b", "k", "n", *_SKETCHES))
+    sketches, n = [s.view(np.uint64) for s in sketches], n.astype(np.int64)
+    cell = lead[row].view(np.uint64) << np.uint64(32) | rest
+    order = np.lexsort((n[row], cell))
+    cell, row = cell[order], row[order]
+    number = np.cumsum(np.r_[False, cell[1:] != cell[:-1]][: len(cell)]) << 32
+    to = np.searchsorted(number + n[row], number + n[row] * 5 // 4, "right")
+    late = b[row] >= since
+    pairs: list[np.ndarray] = []
+
+    def keep(x: np.ndarray, y: np.ndarray) -> None:
+        x, y = row[x], row[y]
+        for _ in range(2):  # words of x that y lacks, then of y that x lacks
+            lost = sum(np.bitwise_count(s[x] & ~s[y]) for s in sketches)
+            good = (n[x] - lost) * 5 >= np.maximum(n[x], n[y]) * 4
+            x, y = y[good], x[good]
+        later = (b[x] > b[y]) | (b[x] == b[y]) & (k[x] > k[y])
+        x, y = np.where(later, x, y), np.where(later, y, x)
+        pairs.append(_unique([np.stack([k[x], k[y], b[x], b[y], n[x], n[y]])]))
+
+    if late.all():
+        for x, y in _spread(np.arange(1, len(row) + 1), to):
+            keep(x, y)
+    else:  # two messages of the past need not meet
+        begin = np.searchsorted(number + n[row], number - (-n[row] * 4 // 5), "left")
+        new = np.flatnonzero(late)
+        for x, y in _spread(begin[new], to[new]):
+            x = new[x]
+            use = ~late[y] | (y > x)
+            keep(x[use], y[use])
+    kx, ky, bx, by, _, _ = _unique(pairs)
+    return pa.RecordBatch.from_arrays([pa.array(kx), pa.array(bx.astype(np.int32)), pa.array(ky), pa.array(by.astype(np.int32))], names=["kx", "bx", "ky", "by"])
+
+
+def candidates(cells: DataFrame, since: int) -> DataFrame:
+    """met() of all cells: they come in the order of their leads, and a lead is in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = shared.value
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            made = _Batch([t.split(" ") for t in batch.column("text").to_pylist()])
-            probes = [made.probes(start, end) for start, end in made]
-            of = np.repeat(np.arange(len(probes)), [len(p) for p in probes])
-            runs = np.concatenate([*probes, np.array([], np.int64)])
-            at = runs.view(np.uint64) >> np.uint64(64 - bits)
-            hit = (marks[(at >> np.uint64(6)).view(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-            of = pa.array(of[hit])
-            yield pa.RecordBatch.from_arrays([pa.array(runs[hit]), *(batch.column(c).take(of) for c in columns)], names=schema.names)
-
-    return nodes.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, schema)
-
-
-_MESSAGE = ["k", "n", "s1", "s2"]
-
-
-def _bounded(pairs: DataFrame) -> DataFrame:
-    """kx, by, ky, bound of rows (the message, then y: its partner): how alike they can be at most."""
-    other = lambda c: F.col(f"y.{c}")
-    lost = lambda a, b: sum(F.bit_count(a(s).bitwiseAND(F.bitwise_not(b(s)))) for s in ("s1", "s2"))
-    common = F.least(F.col("n") - lost(F.col, other), other("n") - lost(other, F.col))
-    return pairs.select(F.col("k").alias("kx"), other("b").alias("by"), other("k").alias("ky"), (common / F.greatest(F.col("n"), other("n"))).alias("bound")).where(f"bound >= {SAME} - 1e-9")
-
-
-def _rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kx, by, ky, like: the nearest of the partners of each message, compared until no nearer is possible.
-
-    Rows come by message and falling bound; a partner whose bound is below the best
-    found, and so all after it, cannot be nearer.
-    """
-    at, best, found = None, (0.0, 0, 0), []
-    for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("kx", "by", "ky", "bound", "text_x", "text_y")))
-        for kx, by, ky, bound, x, y in rows:
-            if kx != at:
-                if best[0] >= SAME - 1e-9:
-                    found.append((at, *best))
-                at, best = kx, (0.0, 0, 0)
-            if bound < best[0] - 1e-9 or bound < best[0] + 1e-9 and (by, ky) > best[1:]:
+            if not batch.num_rows:
                 continue
-            like = _likeness(x, y)
-            if like > best[0] + 1e-9 or like > best[0] - 1e-9 and (by, ky) < best[1:]:
-                best = (like, by, ky)
-        yield _matches(found)
-        found = []
-    if at is not None and best[0] >= SAME - 1e-9:
-        yield _matches([(at, *best)])
-
-
-def _matches(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [(), (), (), ()]
-    types = (pa.int64(), pa.float64(), pa.int32(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["kx", "like", "by", "ky"])
-
-
-_FOUND = "kx long, like double, by int, ky long"
-
+            held.append(batch)
+            last = batch.column("lead")[-1].as_py()
+            if sum(h.num_rows for h in held) < CHUNK_ROWS or held[0].column("lead")[0].as_py() == last:
+                continue
+            whole = pa.Table.from_batches(held)
+            cut = int(np.searchsorted(whole.column("lead").to_numpy(), last, "left"))
+            yield met(whole.slice(0, cut), since)
+            held = whole.slice(cut).to_batches()
+        if held:
+            yield met(pa.Table.from_batches(held), since)
 
-def _nearest(matches: DataFrame) -> DataFrame:
-    """The nearest match of each message, of equally near ones the first."""
-    rank = F.struct(F.round("like", 9).alias("like"), (-F.col("by")).alias("b"), (-F.col("ky")).alias("k"))
-    return matches.groupBy("kx").agg(F.max(rank).alias("top")).select("kx", "top.like", (-F.col("top.b")).alias("by"), (-F.col("top.k")).alias("ky"))
+    return cells.mapInArrow(run, "kx long, bx int, ky long, by int")
 
 
 class VectorCells:
@@ -329,67 +413,40 @@ class VectorCells:
     within a batch rows are ordered by rec_key, which must be unique. An append that fails
     leaves the index as it was, and may be repeated.
 
-    Tables: cells (bucketed by cell) and accepted (the full vectors, bucketed by key),
-    shorts, occupancy (one map per append, the last counts), frequent (the runs fitted on
-    the first batch) and found (the result).
+    Tables, a partition for each call of append(): accepted (the full vectors, of which the
+    cells are made), shorts, found (the result); frequent (the words fitted on the first).
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, occupancy_bits: int = OCCUPANCY_BITS) -> None:
+    def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         self._fs, self._at = file_system(spark, self.path)
         manifests = self._fs.globStatus(self._at(f"{self.path}/manifest/*.json")) or []
         last = max((s.getPath().getName() for s in manifests), default=None)
-        fresh = {"appends": 0, "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "bits": occupancy_bits}
-        self.manifest = json.loads(spark.read.text(f"{self.path}/manifest/{last}", wholetext=True).first()[0]) if last else fresh
-        self._tables: dict[str, str] = {}
-        if self.appends:
-            for name, key in (("cells", "cell"), ("accepted", "k")):
-                self._open(name, key)
+        self.manifest = json.loads(spark.read.text(f"{self.path}/manifest/{last}", wholetext=True).first()[0]) if last else {"appends": 0, "parts": []}
 
     @property
     def appends(self) -> int:
+        """Batches appended so far."""
         return self.manifest["appends"]
 
-    def _open(self, name: str, key: str) -> str:
-        """The bucketed table of a folder, made known to this session."""
-        if name not in self._tables:
-            table = f"marlstone_{name}_{uuid.uuid4().hex}"
-            self.spark.sql(
-                f"CREATE TABLE {table} ({_SCHEMAS[name]}, append int) USING parquet OPTIONS (compression 'zstd') PARTITIONED BY (append) "
-                f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.manifest['buckets']} BUCKETS LOCATION '{self.path}/{name}'"
-            )
-            if self._fs.exists(self._at(f"{self.path}/{name}")):
-                self.spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
-            self._tables[name] = table
-        return self._tables[name]
-
-    def _file(self, df: DataFrame, name: str, key: str) -> None:
-        """Add rows to a bucketed table as one partition, one file per bucket."""
-        columns = [c.split()[0] for c in _SCHEMAS[name].split(", ")]
-        spread = df.select(*columns, F.lit(self.appends).alias("append")).repartition(self.manifest["buckets"], key)
-        spread.write.mode("append").insertInto(self._open(name, key))
-
     def _write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}/append={self.appends}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}/append={self.appends}")
+        return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.path}/{name}/append={self.appends}")
 
-    def _read(self, name: str, appends: list[int]) -> DataFrame:
-        paths = [f"{self.path}/{name}/append={k}" for k in appends]
+    def _read(self, name: str) -> DataFrame:
+        paths = [f"{self.path}/{name}/append={k}" for k in self.manifest["parts"]]
         return self.spark.read.schema(_SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], _SCHEMAS[name])
 
     def found(self) -> DataFrame:
         """kept_key, dup_key of all appends so far."""
-        return self._read("found", list(range(self.appends)))
+        return self._read("found")
 
     def close(self) -> None:
-        """Forget the tables in this session; the folder stays."""
-        for table in self._tables.values():
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        self._tables = {}
+        """End the use of the index; the folder stays, and all that counts is in it."""
 
     def _commit(self) -> None:
         """Name the next state of the index in a manifest; the one write that makes an append count."""
-        self.manifest = self.manifest | {"appends": self.appends + 1}
+        self.manifest = self._next
         draft, final = (self._at(f"{self.path}/manifest/{n}") for n in (f"_{uuid.uuid4().hex}", f"{self.appends:09d}.json"))
         out = self._fs.create(draft)
         out.write(bytearray(json.dumps(self.manifest).encode()))
@@ -400,126 +457,78 @@ class VectorCells:
     def append(self, batches: DataFrame) -> DataFrame:
         """kept_key, dup_key of the rows of these batches that repeat an accepted row.
 
-        Null rec_keys are left out, a null batch_id counts as 0; several batches are
+        Null rec_keys are left out, a null batch_id counts as 0; several batches count as
         appended one after the other. A row is rejected if it repeats an accepted row that
         comes before it: of several the nearest, of equally near ones the first.
         """
-        rows = batches.where("rec_key IS NOT NULL").select(F.coalesce("batch_id", F.lit(0)).alias("b"), F.col("rec_key").alias("k"), "record_id", "body")
-        numbers = sorted(r[0] for r in rows.select("b").distinct().collect())  # one row per batch
-        found = self.spark.createDataFrame([], _SCHEMAS["found"])
-        for number in numbers:
-            found = found.unionByName(self._append(rows.where(F.col("b") == number)))
-        return found
-
-    def _append(self, rows: DataFrame) -> DataFrame:
+        rows = batches.where("rec_key IS NOT NULL").select(F.coalesce("batch_id", F.lit(0)).alias("number"), F.col("rec_key").alias("k"), "record_id", "body")
+        numbers = sorted(r[0] for r in rows.select("number").distinct().collect())  # one row per batch
+        if not numbers:
+            return self.spark.createDataFrame([], _SCHEMAS["found"])
+        places = self.spark.createDataFrame([(n, self.appends + i) for i, n in enumerate(numbers)], "number int, b int")
+        return self._append(rows.join(F.broadcast(places), "number"), len(numbers))
+
+    def _append(self, rows: DataFrame, batches: int) -> DataFrame:
         for name in _SCHEMAS:  # what a failed append left
             self._fs.delete(self._at(f"{self.path}/{name}/append={self.appends}"), True)
         if not self.appends:
             self._write(fit_frequent(rows), "frequent")
-        frequent = self._read("frequent", [0]).toPandas().sort_values("run")  # bounded, see FREQUENT
-        arrays = (frequent["run"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64))
+        frequent = self.spark.read.schema(_SCHEMAS["frequent"]).parquet(f"{self.path}/frequent/append=0").toPandas().sort_values("word")  # bounded, see fit_frequent()
+        arrays = (frequent["word"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64))
+        first = F.min(F.struct("b", "k")).alias("first")
         with Scratch(self.spark, "append") as scratch:
-            filed = scratch.cut(parsed(rows))
-            long = filed.where("h1 IS NOT NULL")
-            distinct = long.groupBy("h1", "h2").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("text").alias("text"))
-            nodes = scratch.cut(vectors(distinct, arrays))
-            near = scratch.cut(self._near(nodes, scratch))
-            kept = nodes.select("h1", "h2", "k").join(near.select(F.col("kx").alias("k"), "ky"), "k", "left")
-            kept = kept.select("h1", "h2", F.coalesce("ky", "k").alias("kept_key"))
-            copies = long.select("k", "h1", "h2").join(kept, ["h1", "h2"]).where("kept_key != k").select("kept_key", F.col("k").alias("dup_key"))
-            new = nodes.join(near.select(F.col("kx").alias("k")), "k", "left_anti")
-            cells = new.select(F.explode("cells").alias("cell"), *_MESSAGE)
-            before = self._read("occupancy", [self.appends - 1] if self.appends else [])
-            occupied = before.unionByName(occupancy(cells, self.manifest["bits"])).groupBy("row").agg(F.bit_or("bits").alias("bits"))
-            found = self._write(copies.unionByName(self._short_copies(filed)), "found")
-            self._write(occupied, "occupancy")
-            self._file(new, "accepted", "k")
-            self._file(cells, "cells", "cell")
+            parts = scratch.cut(parsed(rows))
+            long = parts.where("h1 IS NOT NULL")
+            # Rows of the same words are one node, at the place of the first of them.
+            slim = long.select("b", "k", "h1", "h2")
+            firsts = slim.groupBy("h1", "h2").agg(first)
+            named = scratch.cut(slim.join(firsts.select("h1", "h2", F.col("first.k").alias("x")), ["h1", "h2"]).select("b", "k", "x"))
+            nodes = without(long, named.where("k != x").select("k"), "k").select("b", "k", "n", "text")
+            edges = self._edges(nodes, arrays, scratch)
+            gone = scratch.cut(self._rejected(edges, scratch))
+
+            # The accepted row that is nearest to each row of a rejected node: it comes before the row, not always before the node.
+            sides = edges.select(F.col("kx").alias("x"), "like", F.col("by").alias("at"), F.col("ky").alias("y"))
+            sides = sides.unionByName(edges.select(F.col("ky").alias("x"), "like", F.col("bx").alias("at"), F.col("kx").alias("y")))
+            sides = sides.join(gone.withColumnRenamed("k", "x"), "x", "left_semi").join(gone.withColumnRenamed("k", "y"), "y", "left_anti")
+            rank = F.struct(F.round("like", 9).alias("like"), (-F.col("at")).alias("b"), (-F.col("y")).alias("k"))
+            hits = named.join(sides, "x").where("at < b OR at = b AND y < k").groupBy("k").agg(F.max(rank).alias("top"))
+            near = hits.select((-F.col("top.k")).alias("kept_key"), F.col("k").alias("dup_key"))
+            copies = named.where("k != x").join(gone.withColumnRenamed("k", "x"), "x", "left_anti").select(F.col("x").alias("kept_key"), F.col("k").alias("dup_key"))
+            found = self._write(copies.unionByName(near).unionByName(self._short_copies(parts)), "found")
+            self._write(without(nodes, gone, "k"), "accepted")
+        self._next = {"appends": self.appends + batches, "parts": [*self.manifest["parts"], self.appends]}
         self._commit()
         return found
 
-    def _short_copies(self, filed: DataFrame) -> DataFrame:
+    def _short_copies(self, parts: DataFrame) -> DataFrame:
         """kept_key, dup_key of short messages whose record_id and body an earlier row has."""
-        mine = filed.where("short IS NOT NULL").select("short", "k")
-        past = self._read("shorts", list(range(self.appends)))
-        firsts = mine.groupBy("short").agg(F.min("k").alias("first")).join(past, "short", "left")
+        mine = parts.where("short IS NOT NULL").select("short", "b", "k")
+        firsts = mine.groupBy("short").agg(F.min(F.struct("b", "k")).alias("first")).select("short", F.col("first.k").alias("first"))
+        firsts = firsts.join(self._read("shorts"), "short", "left")
         self._write(firsts.where("kept IS NULL").select("short", F.col("first").alias("kept")), "shorts")
         kept = firsts.select("short", F.coalesce("kept", "first").alias("kept_key"))
         return mine.join(kept, "short").where("kept_key != k").select("kept_key", F.col("k").alias("dup_key"))
 
-    def _near(self, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-        """kx, like, by, ky of the messages that repeat an accepted one, and the nearest of these."""
-        texts = nodes.select("k", "text")
-        past = self._past_matches(nodes, texts, scratch) if self.appends else self.spark.createDataFrame([], _FOUND)
-
-        # The batch itself: the messages that no past one rejects lie in its cells.
-        rejected = past.select(F.col("kx").alias("k"))
-        open_ = nodes.join(rejected, "k", "left_anti")
-        entries = open_.select(F.explode("cells").alias("cell"), F.col("k").alias("ky"))
-        sizes = entries.groupBy("cell").agg(F.count("*").alias("n"))
-        bits = self.manifest["bits"]
-        probes = scratch.cut(probing(nodes, occupancy(entries, bits), bits, ["k"]))
-        crowd = sizes.agg(F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("n")).first()
-        if (crowd["pairs"] or 0) > CROWDED * (crowd["n"] or 0):
-            return self._in_crowds(nodes, texts, past, entries, probes, scratch)
-        edges = scratch.cut(self._edges(probes.join(entries, "cell"), nodes, texts))
-        gone = self._in_order(edges.join(rejected.withColumnRenamed("k", "kx"), "kx", "left_anti"), scratch)
-        return _nearest(past.unionByName(edges.join(gone.withColumnRenamed("k", "ky"), "ky", "left_anti").select("kx", "like", "by", "ky")))
-
-    def _edges(self, meetings: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-        """kx, like, by, ky of the messages (k) that are the same as an earlier one (ky) that they meet in a cell."""
-        pairs = self._bounds(meetings.where("ky < k").select("k", "ky").distinct(), nodes)
+    def _edges(self, nodes: DataFrame, frequent: tuple[np.ndarray, np.ndarray], scratch: Scratch) -> DataFrame:
+        """kx, bx, ky, by, like of the new messages (x) and the earlier ones (y), new or accepted, that are the same."""
+        known = nodes.unionByName(self._read("accepted")) if self.appends else nodes
+        cells = entries(known, frequent).repartition("lead").sortWithinPartitions("lead")
+        pairs = scratch.cut(candidates(cells, self.appends).distinct())
+        scratch.collect()
+        named = pairs.select(F.col("kx").alias("k")).unionByName(pairs.select(F.col("ky").alias("k")))
+        texts = scratch.cut(likely_in(known.select("k", "text"), named, "k"))
         both = pairs.join(texts.toDF("kx", "text_x"), "kx").join(texts.toDF("ky", "text_y"), "ky")
-        return both.select("kx", likeness("text_x", "text_y").alias("like"), "by", "ky").where(F.col("like") >= SAME - 1e-9)
-
-    def _in_crowds(self, nodes: DataFrame, texts: DataFrame, past: DataFrame, entries: DataFrame, probes: DataFrame, scratch: Scratch) -> DataFrame:
-        """_near() where cells hold many messages of the batch: most of these repeat the first one of a cell.
+        return scratch.cut(both.select("kx", "bx", "ky", "by", likeness("text_x", "text_y").alias("like")).where(F.col("like") >= SAME - 1e-9))
 
-        Each message is first held against the first of its cells. A message that comes
-        first in all the cells it meets is accepted for sure, and what it rejects need not
-        be paired with the rest.
-        """
-        rejected = past.select(F.col("kx").alias("k"))
-        leaders = entries.groupBy("cell").agg(F.min("ky").alias("ky"))
-        met = scratch.cut(probes.join(rejected, "k", "left_anti").join(leaders, "cell").where("ky < k").select("k", "ky"))
-        followers = met.select("k").distinct()
-        sure = met.distinct().join(followers.withColumnRenamed("k", "ky"), "ky", "left_anti")
-        led = scratch.cut(self._compared(self._bounds(sure, nodes), texts, texts))
-
-        # What is left within the cells, pair by pair, in the order of the rows.
-        left = followers.join(led.select(F.col("kx").alias("k")), "k", "left_anti")
-        theirs = entries.join(left.withColumnRenamed("k", "ky"), "ky", "left_semi")
-        edges = scratch.cut(self._edges(probes.join(left, "k", "left_semi").join(theirs, "cell"), nodes, texts))
-        gone = self._in_order(edges, scratch)
-
-        # Now that all accepted rows are known: those that may be nearer than what was found.
-        known = past.unionByName(led)
-        accepted = entries.join(led.select(F.col("kx").alias("ky")), "ky", "left_anti").join(gone.withColumnRenamed("k", "ky"), "ky", "left_anti")
-        again = probes.join(known.where(F.col("like") < 1 - 1e-9).select(F.col("kx").alias("k")), "k", "left_semi")
-        pairs = again.join(accepted, "cell").where("ky < k").select("k", "ky").distinct()
-        pairs = self._bounds(pairs, nodes).join(known.select("kx", "like"), "kx").where("bound >= like - 1e-9").drop("like")
-        nearer = self._compared(pairs, texts, texts)
-        late = edges.join(gone.select(F.col("k").alias("ky")), "ky", "left_anti").select("kx", "like", "by", "ky")
-        return _nearest(known.unionByName(nearer).unionByName(late))
-
-    def _past_matches(self, nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-        """The nearest accepted message of the past of each message that repeats one."""
-        occupied = self._read("occupancy", [self.appends - 1])
-        cells = self.spark.table(self._open("cells", "cell")).where(F.col("append") < self.appends)
-        cells = cells.select("cell", F.struct(F.col("append").alias("b"), *_MESSAGE).alias("y"))
-        pairs = _bounded(probing(nodes, occupied, self.manifest["bits"], _MESSAGE).join(cells, "cell")).distinct()
-        past_texts = self.spark.table(self._open("accepted", "k")).where(F.col("append") < self.appends).select("k", "text")
-        return scratch.cut(_nearest(self._compared(pairs, texts, past_texts)))
-
-    def _bounds(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The pairs (k, ky) of this append whose bound allows a match."""
-        y = nodes.select(F.struct(F.lit(self.appends).alias("b"), *_MESSAGE).alias("y"), F.col("k").alias("ky"))
-        return _bounded(pairs.join(nodes.select(*_MESSAGE), "k").join(y, "ky"))
-
-    def _compared(self, pairs: DataFrame, texts_x: DataFrame, texts_y: DataFrame) -> DataFrame:
-        """The nearest partner of each message among the pairs, if it is the same message."""
-        both = pairs.join(texts_y.toDF("ky", "text_y"), "ky").join(texts_x.toDF("kx", "text_x"), "kx")
-        return _nearest(both.sortWithinPartitions("kx", F.col("bound").desc(), "by", "ky").mapInArrow(_rerank, _FOUND))
+    def _rejected(self, edges: DataFrame, scratch: Scratch) -> DataFrame:
+        """k: the new messages that are not accepted."""
+        if not self.appends:
+            return self._in_order(edges, scratch)
+        past = edges.where(F.col("by") < self.appends).select(F.col("kx").alias("k")).distinct()
+        inner = edges.where(F.col("by") >= self.appends)
+        inner = inner.join(past.withColumnRenamed("k", "kx"), "kx", "left_anti").join(past.withColumnRenamed("k", "ky"), "ky", "left_anti")
+        return past.unionByName(self._in_order(inner, scratch))
 
     def _in_order(self, edges: DataFrame, scratch: Scratch) -> DataFrame:
         """k: the rows that taking them one by one rejects, by rounds over the matches.
@@ -541,10 +550,8 @@ class VectorCells:
 
 
 _SCHEMAS = {
-    "cells": "cell long, k long, n int, s1 long, s2 long",
-    "accepted": "k long, n int, text string",
+    "accepted": "b int, k long, n int, text string",
     "shorts": "short string, kept long",
-    "occupancy": "row long, bits long",
     "found": "kept_key long, dup_key long",
-    "frequent": "run long, n int",
+    "frequent": "word long, n int",
 }

@@ -18,3 +18,11 @@ def likely_in(df: DataFrame, wanted: DataFrame, column: str, buckets: int = BUCK
     bucket = F.pmod(F.xxhash64(column), F.lit(buckets)).cast("long")
     hit = wanted.select(bucket.alias("_bucket")).distinct()
     return df.withColumn("_bucket", bucket).join(F.broadcast(hit), "_bucket", "left_semi").drop("_bucket")
+
+
+def without(df: DataFrame, unwanted: DataFrame, column: str, buckets: int = BUCKETS) -> DataFrame:
+    """Rows of df whose key is not among the unwanted ones; only those that share a hash bucket with one are shuffled."""
+    bucket = F.pmod(F.xxhash64(column), F.lit(buckets)).cast("long")
+    hit = unwanted.select(bucket.alias("_bucket")).distinct()
+    clear = df.withColumn("_bucket", bucket).join(F.broadcast(hit), "_bucket", "left_anti").drop("_bucket")
+    return clear.unionByName(likely_in(df, unwanted, column, buckets).join(unwanted.select(column), column, "left_anti"))

@@ -62,15 +62,18 @@ class Scratch:
         df.write.options(**STAGE).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def collect(self) -> None:
+        """Let Spark drop the shuffle files of plans that have run, once their objects are collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *error) -> None:
         fs, at = file_system(self.spark, self.path)
         fs.delete(at(self.path), True)
-        # Spark drops the shuffle files of a plan once the driver has collected its objects.
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        self.collect()
 
 
 def scratch(spark: SparkSession, label: str) -> str:

@@ -101,3 +101,41 @@ def test_hot_group_of_changed_copies(spark, monkeypatch, crowded):
 
 
 found: dict[str, list] = {}
+
+
+def scattered(text):
+    """The text with every fifth word dropped, and as many others put in elsewhere."""
+    out = []
+    for i, word in enumerate(text):
+        out += [word] * (i % 5 != 0) + [f"new{i}"] * (i % 5 == 2)
+    return out
+
+
+def test_no_pair_at_the_threshold_is_missed(spark):
+    rows, want = [], set()
+    for i in range(40):
+        a = words(900 + i, (30, 50, 10, 100)[i % 4])
+        b = scattered(a)
+        assert v.common_subsequence(a, b) * 5 == 4 * len(a) and len(a) == len(b)
+        rows += [(2 * i, None, " ".join(a), i % 2), (2 * i + 1, None, " ".join(b), i % 2)]
+        want.add((2 * i, 2 * i + 1))
+    df = spark.createDataFrame(rows, RECORDS)
+    assert {tuple(r) for r in v.VectorCells(spark, scratch(spark, "t")).append(df).collect()} == want
+
+
+def test_one_call_gives_the_rows_of_one_call_per_batch(spark):
+    rows = []
+    for family in range(10):
+        made = [words(40 * family, 40)]
+        for k in range(9):
+            r = random.Random(100 * family + k)
+            made.append([w if r.random() > 0.1 else f"z{r.randrange(99)}" for w in r.choice(made)] if k % 3 else made[k // 3])
+        rows += [(10 * family + k, None, " ".join(text), k % 3) for k, text in enumerate(made)]
+    df = spark.createDataFrame(rows, RECORDS)
+    index = v.VectorCells(spark, scratch(spark, "t"))
+    for batch in range(3):
+        index.append(df.where(f"batch_id = {batch}"))
+    whole = v.VectorCells(spark, scratch(spark, "t"))
+    whole.append(df)
+    assert whole.appends == index.appends == 3
+    assert sorted(map(tuple, whole.found().collect())) == sorted(map(tuple, index.found().collect()))
