@@ -55,9 +55,11 @@ CROWDED = 16
 GROUPS, LARGE_GROUP = 0.12, 12
 #: Longs of a sketch, and the share of messages with the most frequent word from which on a
 #: word is too frequent to tell messages apart, and is no part of sketches.
-SKETCH, TELLING = 3, 1 / 4
-#: Rows of cells held at once by a task, and pairs compared at once.
+SKETCH, TELLING = 4, 1 / 4
+#: Rows of cells held at once by a task, and pairs compared at once. Entries from which on a
+#: cell is compared in blocks of rows and columns, and the size of these.
 CHUNK_ROWS, CHUNK_PAIRS = 200_000, 2_000_000
+LARGE_CELL, BLOCK = 32, (64, 2048)
 _SKETCHES = [f"s{i}" for i in range(SKETCH)]
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _known: dict[str, int] = {}
@@ -230,7 +232,7 @@ def _triples(words: list[int]) -> set[tuple[int, ...]]:
 
 
 def signatures(made: _Batch, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The cells of each message of a batch: its number, the rarest of three words, a hash of all three.
+    """The cells of each message of a batch: its number, the rarest of three words, 24 bits of a hash of all three.
 
     Each cell of a message comes once, in the order of these columns. A message is filed
     for the number of groups of each partner that it may have, as the longer one decides.
@@ -261,7 +263,7 @@ def signatures(made: _Batch, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[n
                 listed = [(of[places[b]], t) for b in begin.tolist() for t in _triples(weights[places[b : b + size]].tolist())]
                 parts, message = np.array([t for _, t in listed], np.uint64), np.array([m for m, _ in listed])
             words = parts & np.uint64(0xFFFFFFFF)
-            cells.append((message, parts.min(axis=1) & np.uint64(0xFFFFFFFF), _hash(*words.T, np.full(len(words), g)) >> np.uint64(32)))
+            cells.append((message, parts.min(axis=1) & np.uint64(0xFFFFFFFF), _hash(*words.T, np.full(len(words), g)) >> np.uint64(40)))
     if not cells:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     message, lead, rest = (np.concatenate(c) for c in zip(*cells))
@@ -288,8 +290,8 @@ def entries(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
                 sketches = _bits(made.codes[telling], np.searchsorted(made.ends, telling, "right") - 1, batch.num_rows)
                 message, lead, rest = signatures(made, shared.value)
                 first = np.flatnonzero(np.r_[True, (message[1:] != message[:-1]) | (lead[1:] != lead[:-1])][: len(lead)])
-                offsets = pa.py_buffer((np.r_[first, len(lead)] * 4).astype(np.int32))
-                cells = pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(rest.astype("<u4"))])
+                offsets = pa.py_buffer((np.r_[first, len(lead)] * 3).astype(np.int32))
+                cells = pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(rest.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes())])
                 of = message[first]
                 columns = [pa.array(lead[first].astype(np.int64)), *(batch.column(c).take(pa.array(of)) for c in ("b", "k", "n"))]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(sketches[of, i]) for i in range(SKETCH)), cells], names=names)
@@ -339,7 +341,7 @@ def _spread(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 
 def _unique(pairs: list[np.ndarray]) -> np.ndarray:
-    """The different columns of these arrays; their first three rows tell them apart."""
+    """The different columns of these arrays; their first two rows tell them apart."""
     whole = np.concatenate([np.zeros((6, 0), np.int64), *pairs], axis=1)
     whole = whole[:, np.lexsort((whole[1], whole[0]))]
     return whole[:, np.r_[True, (whole[0][1:] != whole[0][:-1]) | (whole[1][1:] != whole[1][:-1])][: whole.shape[1]]]
@@ -347,39 +349,54 @@ def _unique(pairs: list[np.ndarray]) -> np.ndarray:
 
 def met(rows: pa.Table, since: int) -> pa.RecordBatch:
     """kx, bx, ky, by of the pairs (y the earlier one) in these cells that may be the same, one of them of append `since` or later."""
-    sizes = pc.binary_length(rows.column("cells")).to_numpy() // 4
-    rest = np.frombuffer(b"".join(rows.column("cells").to_pylist()), "<u4")
+    sizes = pc.binary_length(rows.column("cells")).to_numpy() // 3
+    rest = np.frombuffer(b"".join(rows.column("cells").to_pylist()), np.uint8).reshape(-1, 3) @ np.array([1, 1 << 8, 1 << 16], np.uint64)
     row = np.repeat(np.arange(rows.num_rows), sizes)
     lead, b, k, n, *sketches = (rows.column(c).to_numpy() for c in ("lead", "b", "k", "n", *_SKETCHES))
     sketches, n = [s.view(np.uint64) for s in sketches], n.astype(np.int64)
     cell = lead[row].view(np.uint64) << np.uint64(32) | rest
     order = np.lexsort((n[row], cell))
     cell, row = cell[order], row[order]
-    number = np.cumsum(np.r_[False, cell[1:] != cell[:-1]][: len(cell)]) << 32
+    first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][: len(cell)])
+    held = np.diff(np.r_[first, len(cell)])
+    number = np.repeat(np.arange(len(first)), held) << 32
+    least = number - (-n[row] * 4 // 5)
+    begin = np.searchsorted(number + n[row], least, "left")
     to = np.searchsorted(number + n[row], number + n[row] * 5 // 4, "right")
+    need = (n * 4 + 4) // 5
     late = b[row] >= since
     pairs: list[np.ndarray] = []
 
     def keep(x: np.ndarray, y: np.ndarray) -> None:
-        x, y = row[x], row[y]
+        use = (late[x] | late[y]) & ((y > x) | ~late[y])  # two messages of the past need not meet, nor two others twice
+        x, y = row[x[use]], row[y[use]]
         for _ in range(2):  # words of x that y lacks, then of y that x lacks
             lost = sum(np.bitwise_count(s[x] & ~s[y]) for s in sketches)
-            good = (n[x] - lost) * 5 >= np.maximum(n[x], n[y]) * 4
+            good = n[x] - lost >= np.maximum(need[x], need[y])
             x, y = y[good], x[good]
         later = (b[x] > b[y]) | (b[x] == b[y]) & (k[x] > k[y])
         x, y = np.where(later, x, y), np.where(later, y, x)
         pairs.append(_unique([np.stack([k[x], k[y], b[x], b[y], n[x], n[y]])]))
 
-    if late.all():
-        for x, y in _spread(np.arange(1, len(row) + 1), to):
-            keep(x, y)
-    else:  # two messages of the past need not meet
-        begin = np.searchsorted(number + n[row], number - (-n[row] * 4 // 5), "left")
-        new = np.flatnonzero(late)
-        for x, y in _spread(begin[new], to[new]):
-            x = new[x]
-            use = ~late[y] | (y > x)
-            keep(x[use], y[use])
+    def block(x: np.ndarray, y: np.ndarray) -> None:
+        i, j = row[x], row[y]
+        lost = sum(np.bitwise_count(s[i][:, None] & ~s[j]) for s in sketches)
+        most = n[i].astype(np.int32)[:, None] - np.maximum(need[i].astype(np.int32)[:, None], need[j].astype(np.int32))
+        at, with_ = np.nonzero(lost <= most)
+        keep(x[at], y[with_])
+
+    # New messages with all that follow in the cell, and with those of the past before them.
+    past = not late.all()
+    large = np.repeat(held >= LARGE_CELL, held)
+    new = np.flatnonzero(late & ~large)
+    for x, y in _spread(begin[new] if past else new + 1, to[new]):
+        keep(new[x], y)
+    for start, size in zip(first[held >= LARGE_CELL].tolist(), held[held >= LARGE_CELL].tolist()):
+        new = np.flatnonzero(late[start : start + size]) + start
+        for p in range(0, len(new), BLOCK[0]):
+            x = new[p : p + BLOCK[0]]
+            for q in range(int(begin[x[0]] if past else x[0]), int(to[x[-1]]), BLOCK[1]):
+                block(x, np.arange(q, min(q + BLOCK[1], int(to[x[-1]]))))
     kx, ky, bx, by, _, _ = _unique(pairs)
     return pa.RecordBatch.from_arrays([pa.array(kx), pa.array(bx.astype(np.int32)), pa.array(ky), pa.array(by.astype(np.int32))], names=["kx", "bx", "ky", "by"])
 
@@ -483,7 +500,9 @@ class VectorCells:
             slim = long.select("b", "k", "h1", "h2")
             firsts = slim.groupBy("h1", "h2").agg(first)
             named = scratch.cut(slim.join(firsts.select("h1", "h2", F.col("first.k").alias("x")), ["h1", "h2"]).select("b", "k", "x"))
-            nodes = without(long, named.where("k != x").select("k"), "k").select("b", "k", "n", "text")
+            short = self._short_copies(parts, scratch)
+            nodes = scratch.cut(without(long, named.where("k != x").select("k"), "k").select("b", "k", "n", "text"))
+            scratch.drop(parts)
             edges = self._edges(nodes, arrays, scratch)
             gone = scratch.cut(self._rejected(edges, scratch))
 
@@ -495,15 +514,15 @@ class VectorCells:
             hits = named.join(sides, "x").where("at < b OR at = b AND y < k").groupBy("k").agg(F.max(rank).alias("top"))
             near = hits.select((-F.col("top.k")).alias("kept_key"), F.col("k").alias("dup_key"))
             copies = named.where("k != x").join(gone.withColumnRenamed("k", "x"), "x", "left_anti").select(F.col("x").alias("kept_key"), F.col("k").alias("dup_key"))
-            found = self._write(copies.unionByName(near).unionByName(self._short_copies(parts)), "found")
+            found = self._write(copies.unionByName(near).unionByName(short), "found")
             self._write(without(nodes, gone, "k"), "accepted")
         self._next = {"appends": self.appends + batches, "parts": [*self.manifest["parts"], self.appends]}
         self._commit()
         return found
 
-    def _short_copies(self, parts: DataFrame) -> DataFrame:
+    def _short_copies(self, parts: DataFrame, scratch: Scratch) -> DataFrame:
         """kept_key, dup_key of short messages whose record_id and body an earlier row has."""
-        mine = parts.where("short IS NOT NULL").select("short", "b", "k")
+        mine = scratch.cut(parts.where("short IS NOT NULL").select("short", "b", "k"))
         firsts = mine.groupBy("short").agg(F.min(F.struct("b", "k")).alias("first")).select("short", F.col("first.k").alias("first"))
         firsts = firsts.join(self._read("shorts"), "short", "left")
         self._write(firsts.where("kept IS NULL").select("short", F.col("first").alias("kept")), "shorts")

@@ -62,6 +62,14 @@ class Scratch:
         df.write.options(**STAGE).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, stage: DataFrame) -> None:
+        """Remove a stage that nothing reads any more."""
+        (folder,) = {file.rpartition("/")[0] for file in stage.inputFiles()} or {None}
+        if folder:
+            fs, at = file_system(self.spark, folder)
+            fs.delete(at(folder), True)
+        self.collect()
+
     def collect(self) -> None:
         """Let Spark drop the shuffle files of plans that have run, once their objects are collected."""
         gc.collect()

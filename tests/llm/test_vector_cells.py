@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marlstone.llm import vector_cells as v
@@ -139,3 +140,33 @@ def test_one_call_gives_the_rows_of_one_call_per_batch(spark):
     whole.append(df)
     assert whole.appends == index.appends == 3
     assert sorted(map(tuple, whole.found().collect())) == sorted(map(tuple, index.found().collect()))
+
+
+@pytest.mark.parametrize("since", [0, 1])
+def test_large_cells_give_the_pairs_of_small_ones(monkeypatch, since):
+    base = words(5, 60)
+    texts = []
+    for k in range(150):
+        r = random.Random(k)
+        texts.append([w if r.random() > 0.06 else f"z{r.randrange(9999)}" for w in base] + words(k, k % 9))
+    made = v._Batch(texts)
+    of, lead, rest = v.signatures(made, (np.array([], np.int64), np.array([], np.int64)))
+    sketches = np.array([v.sketch_of(made.codes[start:end]) for start, end in made])
+    order = np.argsort(lead, kind="stable")
+    of, lead, rest = of[order], lead[order], rest[order]
+    cells = [int(c).to_bytes(3, "little") for c in rest]
+    columns = [lead.astype(np.int64), (of % 2).astype(np.int32), of, np.array(list(map(len, texts)), np.int32)[of], *sketches[of].T]
+    table = pa.table(dict(zip(["lead", "b", "k", "n", *v._SKETCHES], columns)) | {"cells": pa.array(cells, pa.binary())})
+    pairs = []
+    for large, block in ((10**9, v.BLOCK), (2, (7, 16))):
+        monkeypatch.setattr(v, "LARGE_CELL", large)
+        monkeypatch.setattr(v, "BLOCK", block)
+        pairs.append({(r["kx"], r["ky"]) for r in v.met(table, since).to_pylist()})
+    want = set()
+    for i in range(150):
+        for j in range(i):
+            near = v.common_subsequence(texts[i], texts[j]) * 5 >= 4 * max(len(texts[i]), len(texts[j]))
+            if near and (since == 0 or i % 2 or j % 2):
+                want.add((i, j) if (i % 2, i) > (j % 2, j) else (j, i))
+    assert pairs[0] == pairs[1] and len(want) > 100 and want <= pairs[0]
+    assert all(x % 2 or y % 2 for x, y in pairs[0]) or since == 0
