@@ -186,6 +186,34 @@ def test_personal_findings(text, want):
     assert [(k, text[s:e]) for k, s, e in find_personal(text, NAMES)] == want
 
 
+def test_texts_without_forms_are_not_searched_place_by_place(monkeypatch):
+    class Never:
+        def search(self, text):
+            raise AssertionError(text)
+
+        finditer = search
+
+    for pattern in ("_SIGNS", "_IDNUM", "_PHONE", "_ADDRESS", "_STREET"):
+        monkeypatch.setattr(personal, pattern, Never())
+    text = "[2018-01-01 00:10 #ops @zoe.dun49]: what (12.5) over 3 runs at BENC-6048, été 87 %, the dotted draft-5 and call 9 are due at 17:25"
+    assert find_personal(text, NAMES) == []
+
+
+def test_forms_leave_no_finding_out(monkeypatch):
+    numbers = ["+44 (0)7700 900 138", "(415) 555-0188", "303.555.0178 ext 2", "030 / 23125 087", "0049 30 2312 5087", "07700900138", "00493023125087"]
+    numbers += ["QQ 12 34 56 A", "qq123456a", "938-78-9328", "938 78 9328", "00005360-G", "X1234567L", "y-7654321-z", "Z12345678", "008599-7527", "AB1CD23E45", "a1bc23d45", "\u212aQ 12 34 56 A"]
+    numbers += ["12 E. Heron St", "12b Heron Close", "5, allée des Pins", "3 bis Quai Nord", "C/ Olmo, 5", "Pa\u017feo de la Paz 5", "AVDA. Sol 7", "Lindenstraße 7b", "Ostring 12", "Linden\u017ftr. 5", "１２ Heron St", "٣ Heron St"]
+    r, seen = random.Random(4), 0
+    texts = numbers + ["".join(r.choice(numbers + list(" ,.-(é5aQ")) + r.choice(["", " ", ", ", "\n"]) for _ in range(r.randrange(1, 7))) for _ in range(2000)]
+    for text in [*texts, *map(str.upper, texts)]:
+        found = find_personal(text, NAMES)
+        with monkeypatch.context() as whole:
+            whole.setattr(personal, "_form", lambda text: None)
+            assert find_personal(text, NAMES) == found
+        seen += bool(found)
+    assert seen > 2000
+
+
 def test_redaction_keeps_the_rest(spark):
     assert redact("ask Anna Jorvold&#44; a@b.example!", NAMES) == "ask [NAME]&#44; [EMAIL]!" and redact(None, NAMES) is None
     df = spark.createDataFrame([(1, "a@b.example a@b.example", "z"), (2, None, None)], "k long, body string, kind string")
