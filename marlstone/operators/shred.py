@@ -70,6 +70,22 @@ def max_levels(path: str) -> tuple[int, int]:
     return sum(s in ("*", "[]") for s in steps), len(steps)
 
 
+def shred_record(text: str | None, paths: list[list[str]]) -> list[tuple[list, list, list]] | None:
+    """Values, repetition and definition levels of each path, given by its steps; null if the text is no JSON."""
+    if text is None:
+        return None
+    try:
+        record = json.loads(text)
+        shredded = []
+        for steps in paths:
+            out: tuple[list, list, list] = ([], [], [])
+            _walk(record, steps, 0, 0, 0, out)
+            shredded.append(out)
+        return shredded
+    except (ValueError, RecursionError):
+        return None
+
+
 def shred(df: DataFrame, column: str, leaves: dict[str, str], keep: list[str]) -> DataFrame:
     """Shred the JSON texts of a column: the kept columns, `is_json`, and one level column per leaf.
 
@@ -90,18 +106,10 @@ def shred(df: DataFrame, column: str, leaves: dict[str, str], keep: list[str]) -
             valid: list[bool] = []
             cells: list[list] = [[] for _ in names]
             for text in batch.column("_json").to_pylist():
-                try:
-                    record = json.loads(text) if text is not None else None
-                    shredded = []
-                    for steps in paths:
-                        out: tuple[list, list, list] = ([], [], [])
-                        _walk(record, steps, 0, 0, 0, out)
-                        shredded.append({"v": out[0], "r": out[1], "d": out[2]})
-                    valid.append(text is not None)
-                except (ValueError, RecursionError):
-                    valid.append(False)
+                shredded = shred_record(text, paths)
+                valid.append(shredded is not None)
                 for k, cell in enumerate(cells):
-                    cell.append(shredded[k] if valid[-1] else None)
+                    cell.append(dict(zip("vrd", shredded[k])) if shredded is not None else None)
             kept = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(valid, pa.bool_()), *(pa.array(c, leaf_type) for c in cells)], names=[*keep, "is_json", *names]
