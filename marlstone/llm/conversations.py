@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import threads
-from marlstone.operators.conversations_json import listed_parents, shred_conversations
-from marlstone.operators.shred import node_arrays, rebuild
 from marlstone.operators.timezones import normalise_stamps
 from marlstone.session import cut_lineage
 from marlstone.tables import table
 
-TREE_LEAVES = {
-    "current": "current_node",
-    "role": "mapping.*.message.author.role",
-    "msg_id": "mapping.*.message.id",
-    "hidden": "mapping.*.message.metadata.is_visually_hidden_from_conversation",
-}
-
 
 def chat_turns(spark: SparkSession, base: str) -> DataFrame:
     """The kept turns of chat_messages: conv, turn, ref, speaker."""
@@ -31,9 +25,10 @@ def chat_turns(spark: SparkSession, base: str) -> DataFrame:
         threads.role_of(F.col("sender")).alias("role"), threads.is_blank(F.col("text")).alias("blank"),
         "created_at", "export_tz", "received_at",
     )
-    timed = normalise_stamps(slim, "created_at", "export_tz").withColumnRenamed("utc_micros", "at")
-    messages = cut_lineage(threads.latest_messages(timed), "messages")
-    positions = threads.conversation_positions(messages)
+    messages = cut_lineage(threads.latest_messages(slim), "messages")
+    # Stamps are read where neither places nor parents are stated: nowhere else they tell the order.
+    timed = lambda silent: normalise_stamps(silent, "created_at", "export_tz").withColumnRenamed("utc_micros", "at")
+    positions = threads.conversation_positions(messages, timed).drop("msg")
     return threads.kept_turns(cut_lineage(positions, "positions")).withColumn("ref", F.col("ref").cast("string"))
 
 
@@ -43,36 +38,23 @@ def tree_turns(spark: SparkSession, base: str) -> DataFrame:
     The path runs from current_node through the parents to the root. Each conversation is
     one record, so its path is walked within the row.
     """
-    shredded = cut_lineage(
-        shred_conversations(table(spark, base, "chatgpt_conversations"), "conversation", ["row_id"], TREE_LEAVES).where("is_json"), "trees"
-    )
-    listed = listed_parents(shredded, "row_id").groupBy("row_id").agg(
-        F.collect_list(F.struct("child", "listed")).alias("pairs")
-    )
-    # Few rows have nodes without a parent field; only those meet the listed children.
-    silent = F.exists("parent.d", lambda d: d == 2)
-    texts = lambda c: c.cast("array<string>")
-    some = shredded.where(silent).join(listed, "row_id", "left").withColumn("kids", F.col("pairs.child")).withColumn("heads", F.col("pairs.listed")).drop("pairs")
-    none = shredded.where(~silent).withColumn("kids", texts(F.lit(None))).withColumn("heads", texts(F.lit(None)))
-    tree = node_arrays(shredded, "node", "role", "msg_id", "hidden")
-    rows = some.unionByName(none).select("row_id", "node", "parent", "kids", "heads", tree.alias("tree"), F.get("current.v", F.lit(0)).alias("start"))
-    walked = rows.select("row_id", "tree", threads.path_from("start", "node.v", "parent.v", "parent.d", "kids", "heads").alias("path"))
-    steps = walked.select("row_id", "tree", F.posexplode("path").alias("pos", "i")).select("row_id", "pos", F.get("tree", F.col("i")).alias("n"))
-    # Blank or not: the parts of each message, and `text` in their place.
-    said = rebuild(shredded, ["row_id"], "part", 6, "node").where(~threads.is_blank(F.col("value"))).select("row_id", "parent")
-    code = shredded.select("row_id", F.inline(F.arrays_zip(F.col("node.v").alias("parent"), F.col("text.v").alias("text"), F.col("text.d").alias("d"))))
-    code = code.where((F.col("d") == 5) & ~threads.is_blank(F.col("text"))).select("row_id", "parent")
-    content = said.unionByName(code).distinct().select("row_id", F.col("parent").alias("node"), F.lit(False).alias("blank"))
-    met = steps.select("row_id", "pos", "n.node", "n.role", "n.role_d", "n.msg_id_d", "n.hidden")
-    met = met.where(((F.col("role_d") >= 4) | (F.col("msg_id_d") >= 4)) & ~F.coalesce(F.col("hidden") == "true", F.lit(False)))
-    met = met.join(content, ["row_id", "node"], "left")
-    positions = met.select(
-        F.col("row_id").cast("string").alias("conv"), F.col("node").alias("ref"), threads.role_of(F.col("role")).alias("role"),
-        F.coalesce("blank", F.lit(True)).alias("blank"), F.col("pos").cast("long").alias("pos"),
-    )
+    rows = table(spark, base, "chatgpt_conversations").select("row_id", "conversation")
+    paths = rows.mapInArrow(_paths, "row_id bigint, pos bigint, ref string, role string, blank boolean")
+    positions = paths.select(F.col("row_id").cast("string").alias("conv"), "ref", threads.role_of(F.col("role")).alias("role"), "blank", "pos")
     return threads.kept_turns(cut_lineage(positions, "paths"))
 
 
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The path of each record."""
+    for batch in batches:
+        rows = [(key, *step) for key, text in zip(batch.column("row_id").to_pylist(), batch.column("conversation")) for step in threads.tree_path(text.as_py())]
+        columns = [list(c) for c in zip(*rows)] or [[]] * len(_PATH)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, _PATH.types)], schema=_PATH)
+
+
+_PATH = pa.schema([("row_id", pa.int64()), ("pos", pa.int64()), ("ref", pa.string()), ("role", pa.string()), ("blank", pa.bool_())])
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
     """tab, conv_key, turn, msg_ref, speaker of every conversation kept."""
     shape = lambda df, tab: df.select(F.lit(tab).alias("tab"), F.col("conv").alias("conv_key"), "turn", F.col("ref").alias("msg_ref"), "speaker")

@@ -4,22 +4,25 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterator
+from itertools import accumulate, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marlstone.operators.ranking import split_rank
+from marlstone.operators.shred import shred_record
 from marlstone.session import cut_lineage, scratch
 
 #: Weights of the evidence for a reply link. What a message states, its place or its parent,
 #: outweighs all that is inferred, a place outweighs a parent.
 WEIGHTS = {"place": 16.0, "parent": 8.0, "time": 1.0, "mention": 0.8, "overlap": 1.2}
 TAU_SECONDS = 300.0
-_BLANKS = "[\\s\\u0000-\\u0020\\u00a0\\u1680\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff\\u00ad]+"
+_BLANK = "\\u0000-\\u0020\\u00a0\\u1680\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff\\u00ad"
+_BLANKS, SHOWN = f"[{_BLANK}]+", f"[^{_BLANK}]"
 
 # Spellings of the senders.
 ROLES = {
@@ -36,7 +39,7 @@ def role_of(sender: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """True for null texts and texts of nothing but white space and invisible marks."""
-    return F.coalesce(F.regexp_replace(text, _BLANKS, "") == "", F.lit(True))
+    return ~F.coalesce(text.rlike(SHOWN), F.lit(False))
 
 
 def words_of(text: Column) -> Column:
@@ -195,82 +198,176 @@ def tree_depths(links: DataFrame, group: list[str], longest: int) -> DataFrame:
 
 def latest_messages(rows: DataFrame) -> DataFrame:
     """One row per (conv, msg): the one received last, of equal ones that of the largest ref."""
-    fields = ["ref", "parent", "idx", "role", "blank", "at"]
-    newest = F.max(F.struct(F.col("received_at"), *[F.col(c) for c in fields])).alias("top")
-    return rows.groupBy("conv", "msg").agg(newest).select("conv", "msg", *[f"top.{c}" for c in fields])
+    received = Window.partitionBy("conv", "msg").orderBy(F.col("received_at").asc_nulls_first(), F.col("ref").asc_nulls_first())
+    # No row comes after the latest. Most messages have one row: ranks would be cut before the shuffle, by a sort more.
+    last = rows.withColumn("_next", F.lead(F.lit(1)).over(received)).where("_next IS NULL")
+    return last.drop("_next", "received_at")
 
 
-def reply_links(messages: DataFrame) -> DataFrame:
+def _with_facts(messages: DataFrame) -> DataFrame:
+    """messages with n, n_role, n_idx and n_parent of their conversation: its messages, and those that fill the fields."""
+    filled = [F.count(c).alias(f"n_{c}") for c in ("role", "idx", "parent") if c in messages.columns]
+    return messages.join(messages.groupBy("conv").agg(F.count("*").alias("n"), *filled), "conv")
+
+
+def _as_they_are(messages: DataFrame) -> DataFrame:
+    return messages
+
+
+def reply_links(messages: DataFrame, timed: Callable[[DataFrame], DataFrame] = _as_they_are) -> DataFrame:
     """conv, msg, parent (null: it begins the conversation), score, kind, pos: the likeliest parent of each message.
 
-    messages: conv, msg, ref, parent, idx, at. Candidates are the message at the place
-    before, the stated parent, and the message before in time (of equal times that of the
-    smaller ref), each scored by WEIGHTS, nearness in time as in link_score(). A message
-    at place 0, without a parent where others state one, or first in time is a candidate
-    for a beginning by the same weight. Time only counts in conversations that state
-    neither places nor parents: mentions and shared words weigh less than any statement,
-    and between two speakers they tell no earlier message from another, so that they are
-    left to candidate_links(). A message of whose candidates none exists has no row. kind
-    names the strongest evidence, pos is the place that follows from it, null for a parent.
+    messages: conv, msg, ref, parent, idx, at; `timed` adds `at` where it is missing, and
+    is only asked about conversations whose order hangs on it. Candidates are the message
+    at the place before, the stated parent, and the message before in time (of equal times
+    that of the smaller ref), each scored by WEIGHTS, nearness in time as in link_score().
+    A message at place 0, without a parent where others state one, or first in time is a
+    candidate for a beginning by the same weight. Where all messages of a conversation
+    state their places, parents cannot win and are not looked up. Time only counts in
+    conversations that state neither places nor parents: mentions and shared words weigh
+    less than any statement, and between two speakers they tell no earlier message from
+    another, so that they are left to candidate_links(). A message of whose candidates
+    none exists has no row. kind names the strongest evidence, pos is the place that
+    follows from it, null for a parent.
     """
-    evidence = messages.groupBy("conv").agg(F.count("idx").alias("n_idx"), F.count("parent").alias("n_parent"))
-    stated = cut_lineage(evidence.where("n_idx > 0 OR n_parent > 0"), "stated")
-    candidate = lambda rows, kind, parent, score, pos: rows.select("conv", "msg", F.struct(score.alias("score"), parent.alias("parent"), F.lit(kind).alias("kind"), pos.cast("long").alias("pos")).alias("c"))
-    none = F.lit(None).cast("string")
+    return _links(cut_lineage(_with_facts(messages), "facts"), timed, [])
+
+
+def _links(known: DataFrame, timed: Callable[[DataFrame], DataFrame], carried: list[str]) -> DataFrame:
+    """The links of reply_links() with the carried columns of their messages; known: as of _with_facts()."""
     weight = lambda kind: F.lit(WEIGHTS[kind])
+    candidate = lambda score, parent, kind, pos: F.struct(score.alias("score"), parent.alias("parent"), F.lit(kind).alias("kind"), pos.cast("long").alias("pos"))
+    fields = ["conv", "msg", "parent", *dict.fromkeys(["n", "n_idx", "n_parent", *carried])]
+
+    silent = cut_lineage(timed(known.where("n_idx = 0 AND n_parent = 0")).select(*dict.fromkeys([*fields, "ref"]), "at"), "silent")
+    ranked = split_rank(silent, ["conv"], [F.col("at").asc_nulls_first(), F.col("ref")], F.floor(F.col("at") / 3_600_000_000), "idx")
+    placed = known.where("idx IS NOT NULL").select(*fields, F.lit(None).cast("long").alias("at"), F.col("idx").cast("long").alias("idx"))
+    ordered = _after_places(placed.unionByName(ranked.select(*fields, "at", "idx")))
+    begins = F.col("idx") == 0
+    by_place = F.when(F.col("up").isNotNull() | begins, candidate(weight("place"), F.col("up"), "place", F.col("idx")))
+    seconds = (F.col("at") - F.coalesce("at_up", "at")) / 1e6
+    near = F.when(begins, weight("time")).otherwise(weight("time") * F.exp(-F.coalesce(seconds, F.lit(0.0)) / TAU_SECONDS))
+    by_time = candidate(near, F.col("up"), "time", F.col("idx"))
+    first = ordered.select(*fields, F.when(F.col("n_idx") > 0, by_place).otherwise(by_time).alias("c"))
 
-    placed = messages.where("idx IS NOT NULL").select("conv", "msg", "idx")
-    before = placed.select("conv", (F.col("idx") + 1).alias("idx"), F.col("msg").alias("up"))
-    by_place = candidate(placed.join(before, ["conv", "idx"]), "place", F.col("up"), weight("place"), F.col("idx"))
-    at_start = candidate(placed.where("idx = 0"), "place", none, weight("place"), F.col("idx"))
+    # Parents are looked up where places leave something open.
+    names = known.where("n_parent > 0 AND n_idx < n").select("conv", F.col("msg").alias("parent"), F.lit(True).alias("there"))
+    unplaced = known.where("n_parent > 0 AND n_idx < n AND idx IS NULL").select(*fields, F.lit(None).cast(first.schema["c"].dataType).alias("c"))
+    asking = first.where("n_parent > 0 AND n_idx < n").unionByName(unplaced).join(names, ["conv", "parent"], "left")
+    states = F.when(F.col("there"), candidate(weight("parent"), F.col("parent"), "parent", F.lit(None)))
+    silent_root = F.when(F.col("parent").isNull() & (F.col("n_idx") == 0), candidate(weight("parent"), F.lit(None).cast("string"), "parent", F.lit(None)))
+    second = asking.select(*fields, F.greatest("c", states, silent_root).alias("c"))
+    settled = first.where("n_parent = 0 OR n_idx = n")
+    links = settled.unionByName(second).where("c IS NOT NULL")
+    return links.select("conv", "msg", *carried, "c.parent", "c.score", "c.kind", "c.pos")
 
-    some = messages.join(stated.where("n_parent > 0").select("conv", "n_idx"), "conv").select("conv", "msg", "parent", "n_idx")
-    names = some.select("conv", F.col("msg").alias("parent"))
-    by_parent = candidate(some.join(names, ["conv", "parent"]), "parent", F.col("parent"), weight("parent"), F.lit(None))
-    no_parent = candidate(some.where("parent IS NULL AND n_idx = 0"), "parent", none, weight("parent"), F.lit(None))
 
-    silent = messages.join(stated.select("conv"), "conv", "left_anti").select("conv", "msg", "ref", "at")
-    ranked = split_rank(silent, ["conv"], [F.col("at").asc_nulls_first(), F.col("ref")], F.floor(F.col("at") / 3_600_000_000), "rank")
-    ranked = cut_lineage(ranked.select("conv", "msg", "at", "rank"), "in-time")
-    earlier = ranked.select("conv", (F.col("rank") + 1).alias("rank"), F.col("msg").alias("up"), F.col("at").alias("at_up"))
-    seconds = (F.col("at") - F.coalesce("at_up", "at")) / 1e6
-    near = weight("time") * F.exp(-F.coalesce(seconds, F.lit(0.0)) / TAU_SECONDS)
-    by_time = candidate(ranked.join(earlier, ["conv", "rank"]), "time", F.col("up"), near, F.col("rank"))
-    first = candidate(ranked.where("rank = 0"), "time", none, weight("time"), F.col("rank"))
+#: Places of a conversation that one task looks at together.
+PLACES = 1000
 
-    offers = at_start
-    for more in (by_place, by_parent, no_parent, by_time, first):
-        offers = offers.unionByName(more)
-    return offers.groupBy("conv", "msg").agg(F.max("c").alias("c")).select("conv", "msg", "c.parent", "c.score", "c.kind", "c.pos")
 
+def _after_places(ordered: DataFrame) -> DataFrame:
+    """Add up and at_up, the message at the place before (idx - 1) and its time; of several there the largest.
 
-def conversation_positions(messages: DataFrame) -> DataFrame:
+    Conversations are cut into pieces of PLACES places, and the last place of a piece
+    stands in the next one too.
+    """
+    piece = F.floor(F.col("idx") / PLACES)
+    pieces = ordered.withColumn("_piece", F.explode(F.sequence(piece, F.floor((F.col("idx") + 1) / PLACES))))
+    before = Window.partitionBy("conv", "_piece").orderBy("idx").rangeBetween(-1, -1)
+    met = pieces.withColumn("up", F.max("msg").over(before)).withColumn("at_up", F.max("at").over(before))
+    return met.where(F.col("_piece") == piece).drop("_piece")
+
+
+def conversation_positions(messages: DataFrame, timed: Callable[[DataFrame], DataFrame] = _as_they_are) -> DataFrame:
     """conv, msg, ref, role, blank, pos of every conversation whose links form one chain.
 
-    messages: conv, msg, ref, parent, idx, role (null: unusable), blank, at. The links are
-    those of reply_links(). Conversations are broken, and left out, if a role is unusable,
-    if they state some places but not 0, 1, 2 and so on (a link then has weaker evidence
-    than a place), or if the links are no single chain from one beginning.
+    messages: conv, msg, ref, parent, idx, role (null: unusable), blank, and at, which
+    `timed` adds where it is missing. The links are those of reply_links(). Conversations
+    are broken, and left out, if a role is unusable, if they state some places but not 0,
+    1, 2 and so on (a link then is missing), or if the links are no single chain from one
+    beginning.
     """
-    links = cut_lineage(reply_links(messages), "links")
-    facts = messages.groupBy("conv").agg(F.count("*").alias("n"), F.count("role").alias("n_role"), F.count("idx").alias("n_idx"))
-    facts = facts.where("n_role = n AND (n_idx = 0 OR n_idx = n)")
-    # As many links as messages, one beginning, no parent with two replies. What is left
-    # to be excluded are circles beside the chain, which only stated parents can form.
-    shape = links.groupBy("conv").agg(F.count("*").alias("n_links"), F.count("parent").alias("n_parents"), F.count_distinct("parent").alias("d_parents"), F.min("kind").alias("least"), F.max("kind").alias("kind"), F.count("pos").alias("n_pos"), F.count_distinct("pos").alias("d_pos"))
-    whole = facts.join(shape, "conv").where("n_links = n AND n_parents = n - 1 AND d_parents = n_parents AND d_pos = n_pos AND kind = least AND (n_idx = 0 OR kind = 'place')")
-    whole = cut_lineage(whole.select("conv", "n", "kind"), "whole")
     fields = ["conv", "msg", "ref", "role", "blank"]
-    known = messages.select(*fields)
-
-    placed = links.where("pos IS NOT NULL").select("conv", "msg", "pos").join(whole.where("kind != 'parent'").select("conv"), "conv")
-    chain = cut_lineage(links.join(whole.where("kind = 'parent'").select("conv", "n"), "conv").select("conv", "n", F.col("msg").alias("node"), "parent"), "chains")
-    longest = chain.agg(F.max("n")).first()[0] or 1
-    depths = tree_depths(chain.drop("n"), ["conv"], longest)
-    reached = depths.groupBy("conv").agg(F.count("*").alias("reached"))
-    sound = chain.select("conv", "n").distinct().join(reached, "conv").where("reached = n").select("conv")
-    chained = depths.join(sound, "conv").select("conv", F.col("node").alias("msg"), F.col("depth").alias("pos"))
-    return placed.unionByName(chained).join(known, ["conv", "msg"]).select(*fields, "pos")
+    known = cut_lineage(_with_facts(messages).where("n_role = n AND (n_idx = 0 OR n_idx = n)").drop("n_role"), "facts")
+    links = cut_lineage(_links(known, timed, ["n", *fields[2:]]).drop("score"), "links")
+    # Each place has one before it, so that the last of n is n - 1 only if all are there
+    # and differ; ranks in time always do. Whether stated parents are one chain is found
+    # by walking them.
+    placed, chains = links.where("kind != 'parent'"), links.where("kind = 'parent'").select(*fields, "parent", "n")
+    shape = placed.groupBy("conv").agg(F.max("n").alias("n"), F.count("*").alias("n_links"), F.max("pos").alias("last"))
+    whole = placed.select(*fields, "pos").join(shape.where("n_links = n AND last = n - 1").select("conv"), "conv")
+    chained = chain_places(chains.where(F.col("n") <= LONGEST_WALK))
+    longest = chains.agg(F.max("n")).first()[0] or 1
+    if longest > LONGEST_WALK:
+        chained = chained.unionByName(_doubled(cut_lineage(chains.where(F.col("n") > LONGEST_WALK), "chains"), longest))
+    return whole.unionByName(chained).select(*fields, "pos")
+
+
+#: Longest conversation whose chain is walked in the memory of one task (about 20 MB).
+LONGEST_WALK = 1 << 16
+
+
+def chain_places(chains: DataFrame) -> DataFrame:
+    """conv, msg, ref, role, blank, pos of the conversations whose stated parents are one chain, walked one by one.
+
+    chains: conv, msg, ref, role, blank, parent (null at a beginning) and n, the number of
+    messages of the conversation. A task holds one conversation and one batch of rows at
+    a time.
+    """
+    kinds = [(c, chains.schema[c].dataType.simpleString()) for c in ("conv", "msg", "ref", "role", "blank", "n")]
+    schema = ", ".join([*(f"{c} {kind}" for c, kind in kinds[:-1]), "pos bigint"])
+    rows = chains.select(*[c for c, _ in kinds], "parent").repartition("conv").sortWithinPartitions("conv")
+    return rows.mapInArrow(_walk_chains, schema)
+
+
+def _walk_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose conversation is one chain, with their places; rows are in the order of conversations."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows, last = pa.Table.from_batches([batch]), batch.column("conv")[-1]
+        rest = rows if rest is None else pa.concat_tables([rest, rows])
+        if rest["conv"][0] != last:  # the last conversation of the batch may go on in the next one
+            whole = pc.index(rest["conv"], last).as_py()
+            yield from _walked(rest.slice(0, whole)).to_batches()
+            rest = rest.slice(whole)
+    if rest is not None:
+        yield from _walked(rest).to_batches()
+
+
+def _walked(rows: pa.Table) -> pa.Table:
+    """rows with pos in place of n and parent, for the conversations that are one chain from one beginning."""
+    convs, messages, parents, sizes = (rows[c].to_pylist() for c in ("conv", "msg", "parent", "n"))
+    places: list[int | None] = [None] * len(convs)
+    start = 0
+    while start < len(convs):
+        end = start
+        after: dict[str | None, int] = {}  # the reply to each message; null leads to the beginning
+        while end < len(convs) and convs[end] == convs[start]:
+            after[parents[end]] = end
+            end += 1
+        path, at = [], after.get(None)
+        while at is not None and len(path) < end - start:
+            path.append(at)
+            at = after.get(messages[at])
+        if len(path) == sizes[start]:  # a fork leaves one of its replies out, a circle is never entered
+            for pos, k in enumerate(path):
+                places[k] = pos
+        start = end
+    pos = pa.array(places, pa.int64())
+    return rows.drop_columns(["n", "parent"]).append_column("pos", pos).filter(pos.is_valid())
+
+
+def _doubled(chains: DataFrame, longest: int) -> DataFrame:
+    """chain_places() for conversations of any length, by pointer doubling."""
+    depths = tree_depths(chains.select("conv", F.col("msg").alias("node"), "parent"), ["conv"], longest)
+    depths = depths.select("conv", F.col("node").alias("msg"), F.col("depth").alias("pos"))
+    # Of n messages the deepest is at n - 1 only if each has one reply.
+    deepest = depths.groupBy("conv").agg(F.max("pos").alias("last"))
+    sound = chains.select("conv", "n").distinct().join(deepest, "conv").where("last = n - 1").select("conv")
+    return chains.join(sound, "conv").join(depths, ["conv", "msg"]).select("conv", "msg", "ref", "role", "blank", "pos")
 
 
 def kept_turns(positions: DataFrame) -> DataFrame:
@@ -280,40 +377,87 @@ def kept_turns(positions: DataFrame) -> DataFrame:
     message is blank, if nothing but blanks remains, or if its last message is the user's;
     the other blank messages are left out.
     """
-    spoken = positions.where(F.col("role").isin("user", "assistant"))
+    spoken = positions.where(F.col("role").isin("user", "assistant")).withColumn("_slice", F.floor(F.col("pos") / 1000))
     shown = ~F.col("blank")
-    verdict = spoken.groupBy("conv").agg(
-        F.max((F.col("blank") & (F.col("role") == "assistant")).cast("int")).alias("bad"),
-        F.max_by("role", F.when(shown, F.col("pos"))).alias("last"),
-        F.count(F.when(shown, 1)).alias("n_shown"),
-    )
-    good = verdict.where((F.col("bad") == 0) & (F.col("n_shown") > 0) & (F.col("last") == "assistant")).select("conv")
-    turns = spoken.where(shown).join(good, "conv")
-    ranked = split_rank(turns, ["conv"], [F.col("pos")], F.floor(F.col("pos") / 1000), "turn")
-    return ranked.select("conv", F.col("turn").cast("int").alias("turn"), "ref", F.col("role").alias("speaker"))
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def path_from(start: pd.Series, names: pd.Series, parents: pd.Series, levels: pd.Series, children: pd.Series, listed: pd.Series) -> pd.Series:
+    # Slices of long conversations: what each has, then over all slices of a conversation.
+    has = spoken.groupBy("conv", "_slice").agg(
+        F.count(F.when(F.col("blank") & (F.col("role") == "assistant"), 1)).alias("bad"),
+        F.count(F.when(shown, 1)).alias("shown"),
+        F.max(F.when(shown, 2 * F.col("pos") + F.when(F.col("role") == "assistant", 1).otherwise(0))).alias("last"),
+    )
+    all_of = Window.partitionBy("conv")
+    before = all_of.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = has.select("conv", "_slice", F.coalesce(F.sum("shown").over(before), F.lit(0)).alias("before"), F.sum("bad").over(all_of).alias("bad"), F.max("last").over(all_of).alias("last"))
+    # Odd: the last message shown is the assistant's; null: none is shown.
+    good = slices.where("bad = 0 AND last % 2 != 0").select("conv", "_slice", "before")
+    inner = Window.partitionBy("conv", "_slice").orderBy("pos")
+    turns = spoken.where(shown).withColumn("turn", F.row_number().over(inner) - 1).join(good, ["conv", "_slice"])
+    return turns.select("conv", (F.col("turn") + F.col("before")).cast("int").alias("turn"), "ref", F.col("role").alias("speaker"))
+
+
+_STEPS = {name: leaf.split(".") for name, leaf in {
+    "current": "current_node",
+    "node": "mapping.*",
+    "parent": "mapping.*.parent",
+    "role": "mapping.*.message.author.role",
+    "msg_id": "mapping.*.message.id",
+    "hidden": "mapping.*.message.metadata.is_visually_hidden_from_conversation",
+    "part": "mapping.*.message.content.parts.[]",
+    "text": "mapping.*.message.content.text",
+    "child": "mapping.*.children.[]",
+}.items()}
+_SHOWN = re.compile(SHOWN)
+
+
+def tree_path(text: str | None) -> list[tuple[int, str, str | None, bool]]:
+    """pos, node, role and blank of the messages on the path of an exported conversation, read off its level columns.
+
+    The path runs from current_node through the parents to the root; pos counts from
+    there. Hidden nodes and nodes without a message are left out, though they have a pos.
+    Broken paths and texts that are no JSON give nothing. A node without a `parent` field
+    has the node whose children list it, of several the first in the record.
+    """
+    shredded = shred_record(text, list(_STEPS.values()))
+    if shredded is None:
+        return []
+    leaf = dict(zip(_STEPS, shredded))
+    names, (parents, _, levels) = leaf["node"][0], leaf["parent"]
+    owner = lambda reps: accumulate((r <= 1 for r in reps), initial=-1)  # noqa: E731 (the node of each entry, after one for none)
+    listed: dict[str, str | None] = {}
+    if 2 in levels:
+        children, reps, depths = leaf["child"]
+        for i, child, depth in zip(islice(owner(reps), 1, None), children, depths):
+            if depth >= 4 and child is not None:
+                listed.setdefault(child, names[i])
+    path = path_from(leaf["current"][0][0], names, parents, levels, listed)
+    if not path:
+        return []
+    # Blank or not: the parts of each message, and `text` in their place.
+    parts, reps, depths = leaf["part"]
+    said = {names[i] for i, part, depth in zip(islice(owner(reps), 1, None), parts, depths) if depth >= 6 and part is not None and _SHOWN.search(part)}
+    said |= {n for n, plain, depth in zip(names, leaf["text"][0], leaf["text"][2]) if depth == 5 and plain is not None and _SHOWN.search(plain)}
+    (roles, _, at_role), at_id, hidden = leaf["role"], leaf["msg_id"][2], leaf["hidden"][0]
+    return [(pos, names[i], roles[i], names[i] not in said) for pos, i in enumerate(path) if (at_role[i] >= 4 or at_id[i] >= 4) and hidden[i] != "true"]
+
+
+def path_from(start: str | None, names: list, parents: list, levels: list[int], listed: dict[str, str | None]) -> list[int] | None:
     """Places of the nodes from the root down to the start; null if the path is broken.
 
     names, parents and levels are a record's nodes, their parent fields and the definition
-    levels of those (below 3: no such field); children and listed give the parents of
-    nodes without the field.
+    levels of those (below 3: no such field); listed gives the parents of nodes without
+    the field.
     """
-    out = []
-    for at, keys, ups, defs, kids, heads in zip(start, names, parents, levels, children, listed):
-        place = {k: i for i, k in enumerate(keys) if k is not None}
-        other = dict(zip(kids, heads)) if kids is not None else {}
-        path: list[int] | None = [] if at in place else None
-        seen: set[int] = set()
-        while path is not None and at:
-            i = place.get(at, -1)
-            if i < 0 or i in seen:
-                path = None
-                break
-            seen.add(i)
-            path.append(i)
-            at = ups[i] if defs[i] >= 3 else other.get(at)
-        out.append(path[::-1] if path is not None else None)
-    return pd.Series(out)
+    place = {name: i for i, name in enumerate(names) if name is not None}
+    if start not in place:
+        return None
+    path: list[int] = []
+    seen: set[int] = set()
+    at = start
+    while at:
+        i = place.get(at, -1)
+        if i < 0 or i in seen:
+            return None
+        seen.add(i)
+        path.append(i)
+        at = parents[i] if levels[i] >= 3 else listed.get(at)
+    return path[::-1]

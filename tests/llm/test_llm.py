@@ -1,7 +1,10 @@
+import json
 import math
 import random
 import re
+import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +251,87 @@ def test_conversation_orders_and_breaks(spark):
     assert turns(spark, []) == []
 
 
+def jobs_of(spark, work):
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "")
+    work()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_long_chains_take_no_more_jobs_than_short_ones(spark):
+    chain = lambda n: [("p", str(k), k, str(k - 1) if k else None, None, ("user", "assistant")[k % 2], False, None) for k in range(n)]
+    short, long = (jobs_of(spark, lambda n=n: turns(spark, chain(n))) for n in (4, 300))
+    assert long == short
+
+
+def test_stamps_are_read_only_where_they_tell_the_order(spark):
+    rows = [("i", "1", 1, None, 0, "user", False, 5), ("p", "1", 2, None, None, "user", False, 5), ("p", "2", 3, "1", None, "user", False, 5), ("t", "1", 4, None, None, "user", False, 5)]
+    seen = []
+    messages = spark.createDataFrame(rows, "conv string, msg string, ref long, parent string, idx long, role string, blank boolean, stamp long")
+    timed = lambda df: (seen.extend(r.conv for r in df.collect()), df.withColumnRenamed("stamp", "at"))[1]
+    assert threads.conversation_positions(messages, timed).count() == 4 and seen == ["t"]
+
+
+def test_chains_of_many_conversations(spark, monkeypatch):
+    r, rows, want, ref = random.Random(6), [], [], 0
+    for c in range(60):
+        n = r.choice([1, 2, 3, 8, 40])
+        parents = [None, *map(str, range(n - 1))]
+        fault = r.choice(["", "", "", "fork", "circle", "gone", "roots"]) if n > 3 else ""
+        if fault == "fork":
+            parents[-1] = "0"
+        elif fault:
+            parents[-2:] = {"circle": [str(n - 1), str(n - 2)], "gone": ["x", parents[-1]], "roots": [None, parents[-1]]}[fault]
+        kind = r.choice(["idx", "parent", "parent"])
+        for k in range(n):
+            idx = None if kind == "parent" else n - 1 if fault and k == 1 else k
+            # Of a conversation of one message nothing is stated: it is first in time.
+            rows.append((f"c{c}", str(k), ref, parents[k], idx, ("assistant", "user")[(n - k) % 2 == 0], False, k))
+            if not fault:
+                want.append((f"c{c}", k, ref, ("assistant", "user")[(n - k) % 2 == 0]))
+            ref += 1
+    rows.append(("one", "x", ref, "x", None, "assistant", False, None))
+    r.shuffle(rows)
+    assert turns(spark, rows) == sorted(want)
+    monkeypatch.setattr(threads, "LONGEST_WALK", 2)
+    monkeypatch.setattr(threads, "PLACES", 3)
+    assert turns(spark, rows) == sorted(want)
+
+
+def test_walked_chains_cross_batches():
+    columns = {"conv": ["a"] * 4 + ["b"] * 2 + ["c"] * 3 + ["d"], "msg": list("3120xy") + list("pqr") + ["z"], "parent": ["2", "0", "1", None, None, "x", None, "p", "p", "z"]}
+    rows = pa.table(columns | {"ref": list(range(10)), "role": ["user"] * 10, "blank": [False] * 10, "n": [4] * 4 + [2] * 2 + [3] * 3 + [1]})
+    for size in range(1, 11):
+        got = pa.Table.from_batches(list(threads._walk_chains(iter(rows.to_batches(size))))).to_pydict()
+        assert list(zip(got["conv"], got["msg"], got["pos"])) == [("a", "3", 3), ("a", "1", 1), ("a", "2", 2), ("a", "0", 0), ("b", "x", 0), ("b", "y", 1)]
+    assert list(threads._walk_chains(iter([]))) == []
+
+
+def test_long_conversations_by_place(spark):
+    who = lambda k: ("user", "assistant", "tool")[k % 3] if k < 2999 else "assistant"
+    rows = [("i", str(k), k, None, k, who(k), k % 3 == 0 and k > 1500, None) for k in range(3000)]
+    rows += [("twice", str(k), k, None, min(k, 4), "assistant", False, None) for k in range(6)]
+    kept = [k for k in range(3000) if who(k) != "tool" and not (k % 3 == 0 and k > 1500)]
+    assert turns(spark, rows) == [("i", turn, k, who(k)) for turn, k in enumerate(kept)]
+
+
+def test_paths_of_trees():
+    said = lambda role, *parts, **more: {"author": {"role": role}, "content": {"parts": list(parts)}} | more
+    mapping = {
+        "r": {"parent": None, "message": None, "children": ["u"]},
+        "u": {"message": said("user", "", "hi")},  # no parent field: r lists it
+        "h": {"parent": "u", "message": said("system", "x", metadata={"is_visually_hidden_from_conversation": True})},
+        "a": {"parent": "h", "message": said("assistant", None, " \u200b\u00a0")},
+        "i": {"parent": "a", "message": said("assistant", {"asset": 1})},
+        "t": {"parent": "i", "message": {"id": "t", "content": {"text": "\u0085"}}},
+        "o": {"parent": "gone", "message": said("user", "x")}, "c": {"parent": "d"}, "d": {"parent": "c"},
+    }
+    path = lambda at: threads.tree_path(json.dumps({"current_node": at, "mapping": mapping}))
+    assert path("t") == [(1, "u", "user", False), (3, "a", "assistant", True), (4, "i", "assistant", False), (5, "t", None, False)]
+    assert path("r") == path("o") == path("c") == path("zz") == path(None) == path("") == []
+    assert [threads.tree_path(t) for t in (None, "", "{", "[]", "3", '{"mapping": {}}', '{"current_node": "a", "mapping": []}')] == [[]] * 7
+
+
 def test_threads_of_interleaved_messages(spark):
     rows = [(1, "c", 0.0, "ann", "where is the zephyr ledger"), (2, "c", 5.0, "bob", "lunch tomorrow anyone"), (3, "c", 60.0, "eve", "@ann the zephyr ledger moved"), (4, "c", 9e5, "bob", "new topic"), (5, None, None, None, None)]
     links = threads.candidate_links(spark.createDataFrame(rows, "msg long, channel string, at double, author string, text string"))
