@@ -22,11 +22,12 @@ rows of as many appends of one batch.
 from __future__ import annotations
 
 import json
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import cached_property
-from itertools import combinations
+from functools import cache, cached_property
+from itertools import chain, combinations, groupby, pairwise
 
 import numpy as np
 import pandas as pd
@@ -56,23 +57,31 @@ GROUPS, LARGE_GROUP = 0.12, 12
 #: Longs of a sketch, and the share of messages with the most frequent word from which on a
 #: word is too frequent to tell messages apart, and is no part of sketches.
 SKETCH, TELLING = 4, 1 / 4
-#: Rows of cells held at once by a task, and pairs compared at once. Entries from which on a
-#: cell is compared in blocks of rows and columns, and the size of these.
-CHUNK_ROWS, CHUNK_PAIRS = 200_000, 2_000_000
+#: Entries of a message, about, and of a bucket, which a task holds at once; pairs compared at
+#: once. Entries from which on a cell is compared in blocks of rows and columns, and the size of
+#: these.
+ENTRIES, CHUNK_ROWS, CHUNK_PAIRS = 22, 200_000, 2_000_000
 LARGE_CELL, BLOCK = 32, (64, 2048)
 _SKETCHES = [f"s{i}" for i in range(SKETCH)]
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
-_known: dict[str, int] = {}
+
+
+class _Codes(dict):
+    """32-bit codes of words, remembered per task."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        code = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        return code
+
+
+_known = _Codes()
 
 
 def word_code(word: str) -> int:
-    """A 32-bit code of a word, remembered per task."""
-    code = _known.get(word)
-    if code is None:
-        if len(_known) > 400_000:
-            _known.clear()
-        code = _known[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
-    return code
+    """A 32-bit code of a word."""
+    return _known[word]
 
 
 def segment_words(n: int) -> int:
@@ -138,12 +147,17 @@ class _Batch:
 
     def __init__(self, texts: list[list[str]]) -> None:
         self.ends = np.cumsum([0, *map(len, texts)])
-        self.codes = np.array([word_code(w) for words in texts for w in words], np.uint64)
+        self.codes = np.fromiter(map(_known.__getitem__, chain.from_iterable(texts)), np.uint64, int(self.ends[-1]))
 
     @cached_property
     def runs(self) -> dict[int, np.ndarray]:
         return {k: run_codes(self.codes, k) for _, k in SEGMENTS}
 
+    @cached_property
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The different codes, and the number of each word's code among them."""
+        return np.unique(self.codes, return_inverse=True)
+
     def __iter__(self) -> Iterator[tuple[int, int]]:
         return zip(self.ends[:-1].tolist(), self.ends[1:].tolist())
 
@@ -200,8 +214,7 @@ def parsed(rows: DataFrame) -> DataFrame:
                     row = (b, k, key, None, None, len(words), None)
                 else:
                     text = " ".join(words)
-                    h1, h2 = np.frombuffer(xxhash.xxh128_digest(text.encode("utf-8", "surrogatepass")), np.int64)
-                    row = (b, k, None, int(h1), int(h2), len(words), text)
+                    row = (b, k, None, *struct.unpack("=qq", xxhash.xxh128_digest(text.encode("utf-8", "surrogatepass"))), len(words), text)
                 for column, value in zip(out, row):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
@@ -231,72 +244,105 @@ def _triples(words: list[int]) -> set[tuple[int, ...]]:
     return found[3]
 
 
+@cache
+def _chosen(size: int) -> np.ndarray:
+    """Three rows: the places of each three of so many things."""
+    return np.array(list(combinations(range(size), 3))).T
+
+
+def _order(major: np.ndarray, minor: np.ndarray) -> np.ndarray:
+    """The order of rows by two numbers from 0 on, equal ones as they stand; by one sort of whole numbers where they fit one."""
+    low, bits = int(minor.max(initial=0)).bit_length(), len(major).bit_length()
+    if int(major.max(initial=0)).bit_length() + low + bits > 63:
+        return np.lexsort((minor, major))
+    return np.sort((major << low | minor) << bits | np.arange(len(major))) & ((1 << bits) - 1)
+
+
 def signatures(made: _Batch, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The cells of each message of a batch: its number, the rarest of three words, 24 bits of a hash of all three.
 
-    Each cell of a message comes once, in the order of these columns. A message is filed
-    for the number of groups of each partner that it may have, as the longer one decides.
+    Each cell of a message comes once, those of one message together, and in them those of
+    one rarest word. A message is filed for the number of groups of each partner that it
+    may have, as the longer one decides.
     """
-    codes, starts, lengths = made.codes, made.ends[:-1], np.diff(made.ends)
+    starts, lengths = made.ends[:-1], np.diff(made.ends)
+    codes, word = made.words
     of = np.repeat(np.arange(len(lengths)), lengths)
-    weights = seen(codes.view(np.int64), frequent).astype(np.uint64) << np.uint64(32) | codes
-    ranked = np.lexsort((weights, of))
-    rank = np.arange(len(codes)) - starts[of]  # of is the same in either order
+    rarest = np.argsort(seen(codes.view(np.int64), frequent), kind="stable")
+    rarity = np.empty_like(rarest)
+    rarity[rarest] = np.arange(len(rarest))
+    rarity, codes = rarity[word], codes[rarest]  # words are told apart by their place in the order of rarity
+    hashes, parts = (_hash(codes) >> np.uint64(20)).astype(np.int64), [codes * mix for mix in _MIX[:3]]
+    ranked = _order(of, rarity)
+    rank = np.arange(len(word)) - starts[of]  # of is the same in either order
     least, most = groups_of(lengths), groups_of(lengths * 5 // 4)
-    total, cells = max(1, len(codes)), []
+    bits, low = len(word).bit_length(), len(codes).bit_length()
+    cells = [np.zeros(0, np.uint64)]
+
+    def file(message: np.ndarray, three: tuple[np.ndarray, ...], g: int) -> None:
+        """Cells as whole numbers: message, place of the rarest word, hash."""
+        rest = sum((part[t] for part, t in zip(parts, three)), np.array([g], np.uint64) * _MIX[3])
+        rest ^= rest >> np.uint64(29)
+        rest *= _MIX[4]
+        lead = np.minimum(np.minimum(three[0], three[1]), three[2])
+        cells.append(((message << low | lead).view(np.uint64) << np.uint64(24) | rest >> np.uint64(40)).ravel())
+
     for g in np.unique(np.concatenate([least, most])).tolist():
         taken = lengths - (lengths * 4 + 4) // 5 + 2 * g + 1
         taken[(least != g) & (most != g)] = 0
         places = ranked[rank < taken[of]]
-        group = (_hash(codes[places]) >> np.uint64(20)).astype(np.int64) & (g - 1)
-        dealt = np.sort((of[places] * g + group) * total + places)
-        places, run = dealt % total, dealt // total
+        dealt = np.sort((of[places] * g + (hashes[rarity[places]] & (g - 1))) << bits | places)
+        places, run = dealt & ((1 << bits) - 1), dealt >> bits
         first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]][: len(run)])
         sizes = np.diff(np.r_[first, len(run)])
         for size in np.unique(sizes[sizes >= 3]).tolist():
             begin = first[sizes == size]
             if size <= LARGE_GROUP:
-                chosen = np.array(list(combinations(range(size), 3)))
-                at = places[(begin[:, None, None] + chosen[None]).reshape(-1, 3)]
-                parts, message = weights[at], of[at[:, 0]]
+                held = rarity[places[np.arange(size)[:, None] + begin]]
+                file(of[places[begin]], tuple(held[at] for at in _chosen(size)), g)
             else:
-                listed = [(of[places[b]], t) for b in begin.tolist() for t in _triples(weights[places[b : b + size]].tolist())]
-                parts, message = np.array([t for _, t in listed], np.uint64), np.array([m for m, _ in listed])
-            words = parts & np.uint64(0xFFFFFFFF)
-            cells.append((message, parts.min(axis=1) & np.uint64(0xFFFFFFFF), _hash(*words.T, np.full(len(words), g)) >> np.uint64(40)))
-    if not cells:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    message, lead, rest = (np.concatenate(c) for c in zip(*cells))
-    major = message.astype(np.uint64) << np.uint64(32) | lead
-    order = np.lexsort((rest, major))
-    major, rest = major[order], rest[order]
-    new = np.r_[True, (major[1:] != major[:-1]) | (rest[1:] != rest[:-1])]
-    major, rest = major[new], rest[new]
-    return (major >> np.uint64(32)).astype(np.int64), major & np.uint64(0xFFFFFFFF), rest
-
-
-def entries(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """lead, cells of the rows (b, k, n, text): per rarest word of a cell one row, with all cells of that word."""
+                listed = [(of[places[b]], *t) for b in begin.tolist() for t in _triples(rarity[places[b : b + size]].tolist())]
+                message, *three = np.array(listed, np.int64).T
+                file(message, tuple(three), g)
+    found = np.sort(np.concatenate(cells))
+    found = found[np.r_[True, found[1:] != found[:-1]][: len(found)]]
+    lead = (found >> np.uint64(24)).view(np.int64)
+    return lead >> low, codes[lead & ((1 << low) - 1)], found & np.uint64(0xFFFFFF)
+
+
+#: Per rarest word of the cells of a message one row, with all cells of that word.
+_ENTRY = pa.schema([("lead", pa.int64()), ("b", pa.int32()), ("k", pa.int64()), ("n", pa.int32()), *((c, pa.int64()) for c in _SKETCHES), ("cells", pa.binary())])
+
+
+def entries(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """bucket, entries: the entries of the rows (b, k, n, text), those of a lead in one bucket; many to a row, packed, as Spark moves few large rows for less."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
-    names = ["lead", "b", "k", "n", *_SKETCHES, "cells"]
     most = frequent[1].max(initial=0) * TELLING
 
+    def filed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = _Batch([t.split(" ") for t in batch.column("text").to_pylist()])
+        codes, word = made.words
+        telling = np.flatnonzero((seen(codes.view(np.int64), shared.value) <= most)[word])
+        sketches = _bits(made.codes[telling], np.searchsorted(made.ends, telling, "right") - 1, batch.num_rows)
+        message, lead, rest = signatures(made, shared.value)
+        first = np.flatnonzero(np.r_[True, (message[1:] != message[:-1]) | (lead[1:] != lead[:-1])][: len(lead)])
+        offsets = pa.py_buffer((np.r_[first, len(lead)] * 3).astype(np.int32))
+        cells = pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(rest.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes())])
+        of = message[first]
+        columns = [pa.array(lead[first].astype(np.int64)), *(batch.column(c).take(pa.array(of)) for c in ("b", "k", "n"))]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(sketches[of, i]) for i in range(SKETCH)), cells], schema=_ENTRY)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 2000):
-                batch = whole.slice(begin, 2000)
-                made = _Batch([t.split(" ") for t in batch.column("text").to_pylist()])
-                telling = np.flatnonzero(seen(made.codes.view(np.int64), shared.value) <= most)
-                sketches = _bits(made.codes[telling], np.searchsorted(made.ends, telling, "right") - 1, batch.num_rows)
-                message, lead, rest = signatures(made, shared.value)
-                first = np.flatnonzero(np.r_[True, (message[1:] != message[:-1]) | (lead[1:] != lead[:-1])][: len(lead)])
-                offsets = pa.py_buffer((np.r_[first, len(lead)] * 3).astype(np.int32))
-                cells = pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(rest.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes())])
-                of = message[first]
-                columns = [pa.array(lead[first].astype(np.int64)), *(batch.column(c).take(pa.array(of)) for c in ("b", "k", "n"))]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(sketches[of, i]) for i in range(SKETCH)), cells], names=names)
-
-    return texts.select("b", "k", "n", "text").mapInArrow(run, "lead long, b int, k long, n int, " + "".join(f"{c} long, " for c in _SKETCHES) + "cells binary")
+        for batch in batches:
+            made = pa.concat_batches([filed(batch.slice(begin, 2000)) for begin in range(0, batch.num_rows, 2000)] or [filed(batch)])
+            bucket = _hash(made.column("lead").to_numpy()) % np.uint64(buckets)
+            order = _order(bucket.astype(np.int64), np.zeros(len(bucket), np.int64))
+            numbers, first = np.unique(bucket[order], return_index=True)
+            made = made.take(pa.array(order))
+            packed = [made.slice(x, y - x).serialize().to_pybytes() for x, y in pairwise([*first.tolist(), len(order)])]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "entries"])
+
+    return texts.select("b", "k", "n", "text").mapInArrow(run, "bucket int, entries binary")
 
 
 def fit_frequent(rows: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -347,25 +393,57 @@ def _unique(pairs: list[np.ndarray]) -> np.ndarray:
     return whole[:, np.r_[True, (whole[0][1:] != whole[0][:-1]) | (whole[1][1:] != whole[1][:-1])][: whole.shape[1]]]
 
 
+def _numbers(cells: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """How many cells each row has, and the hashes of all of them."""
+    sizes, rest = [], []
+    for chunk in cells.chunks:
+        at = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        sizes.append(np.diff(at) // 3)
+        rest.append(np.frombuffer(chunk.buffers()[2], np.uint8)[at[0] : at[-1]])
+    three = np.concatenate(rest).reshape(-1, 3)
+    four = np.zeros((len(three), 4), np.uint8)
+    four[:, :3] = three
+    return np.concatenate(sizes), four.view("<u4")[:, 0].astype(np.int64)
+
+
+def _entries(rows: pa.Table, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cell and row of the entries of cells that more than one row has, in the order of cells and in them of n."""
+    sizes, rest = _numbers(rows.column("cells"))
+    lead = np.unique(rows.column("lead").to_numpy(), return_inverse=True)[1]
+    order = _order(lead, n)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    bits = len(order).bit_length()
+    if int(lead.max(initial=0)).bit_length() + 24 + bits <= 63:
+        packed = np.sort(np.repeat(lead << (24 + bits) | place, sizes) | rest << bits)
+        cell, at = packed >> bits, packed & ((1 << bits) - 1)
+    else:
+        cell, at = np.repeat(lead << 24, sizes) | rest, np.repeat(place, sizes)
+        by = np.lexsort((at, cell))
+        cell, at = cell[by], at[by]
+    same = cell[1:] == cell[:-1]
+    more = np.r_[same, [False] * (len(cell) > 0)] | np.r_[[False] * (len(cell) > 0), same]
+    return cell[more], order[at[more]]
+
+
 def met(rows: pa.Table, since: int) -> pa.RecordBatch:
     """kx, bx, ky, by of the pairs (y the earlier one) in these cells that may be the same, one of them of append `since` or later."""
-    sizes = pc.binary_length(rows.column("cells")).to_numpy() // 3
-    rest = np.frombuffer(b"".join(rows.column("cells").to_pylist()), np.uint8).reshape(-1, 3) @ np.array([1, 1 << 8, 1 << 16], np.uint64)
-    row = np.repeat(np.arange(rows.num_rows), sizes)
-    lead, b, k, n, *sketches = (rows.column(c).to_numpy() for c in ("lead", "b", "k", "n", *_SKETCHES))
+    b, k, n, *sketches = (rows.column(c).to_numpy() for c in ("b", "k", "n", *_SKETCHES))
     sketches, n = [s.view(np.uint64) for s in sketches], n.astype(np.int64)
-    cell = lead[row].view(np.uint64) << np.uint64(32) | rest
-    order = np.lexsort((n[row], cell))
-    cell, row = cell[order], row[order]
+    cell, row = _entries(rows, n)
     first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][: len(cell)])
     held = np.diff(np.r_[first, len(cell)])
     number = np.repeat(np.arange(len(first)), held) << 32
-    least = number - (-n[row] * 4 // 5)
-    begin = np.searchsorted(number + n[row], least, "left")
-    to = np.searchsorted(number + n[row], number + n[row] * 5 // 4, "right")
+    length = n[row]
     need = (n * 4 + 4) // 5
-    late = b[row] >= since
+    late = (b >= since)[row]
+    past = not late.all()
+    begin = np.searchsorted(number + length, number - (-length * 4 // 5), "left") if past else np.arange(1, len(row) + 1)
+    to = np.searchsorted(number + length, number + length * 5 // 4, "right")
+    halves, most, least = [s[row] for s in sketches[: SKETCH // 2]], length.astype(np.int32), need[row].astype(np.int32)
     pairs: list[np.ndarray] = []
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    many = 0
 
     def keep(x: np.ndarray, y: np.ndarray) -> None:
         use = (late[x] | late[y]) & ((y > x) | ~late[y])  # two messages of the past need not meet, nor two others twice
@@ -378,47 +456,41 @@ def met(rows: pa.Table, since: int) -> pa.RecordBatch:
         x, y = np.where(later, x, y), np.where(later, y, x)
         pairs.append(_unique([np.stack([k[x], k[y], b[x], b[y], n[x], n[y]])]))
 
-    def block(x: np.ndarray, y: np.ndarray) -> None:
-        i, j = row[x], row[y]
-        lost = sum(np.bitwise_count(s[i][:, None] & ~s[j]) for s in sketches)
-        most = n[i].astype(np.int32)[:, None] - np.maximum(need[i].astype(np.int32)[:, None], need[j].astype(np.int32))
-        at, with_ = np.nonzero(lost <= most)
-        keep(x[at], y[with_])
-
-    # New messages with all that follow in the cell, and with those of the past before them.
-    past = not late.all()
+    # New messages with all that follow in the cell, and with those of the past before them: first by half of the sketches.
     large = np.repeat(held >= LARGE_CELL, held)
     new = np.flatnonzero(late & ~large)
-    for x, y in _spread(begin[new] if past else new + 1, to[new]):
-        keep(new[x], y)
+    for x, y in _spread(begin[new], to[new]):
+        x = new[x]
+        lost = sum(np.bitwise_count(s[x] & ~s[y]) for s in halves)
+        good = np.flatnonzero(lost <= most[x] - np.maximum(least[x], least[y]))
+        keep(x[good], y[good])
     for start, size in zip(first[held >= LARGE_CELL].tolist(), held[held >= LARGE_CELL].tolist()):
         new = np.flatnonzero(late[start : start + size]) + start
         for p in range(0, len(new), BLOCK[0]):
             x = new[p : p + BLOCK[0]]
-            for q in range(int(begin[x[0]] if past else x[0]), int(to[x[-1]]), BLOCK[1]):
-                block(x, np.arange(q, min(q + BLOCK[1], int(to[x[-1]]))))
+            end = int(to[x[-1]])
+            for q in range(int(begin[x[0]]), end, BLOCK[1]):
+                y = slice(q, min(q + BLOCK[1], end))
+                lost = sum(np.bitwise_count(s[x][:, None] & ~s[y]) for s in halves)
+                u, v = np.nonzero(lost <= most[x][:, None] - np.maximum(least[x][:, None], least[y]))
+                waiting.append((x[u], v + q))
+                many += len(u)
+                if many >= CHUNK_PAIRS:
+                    keep(*map(np.concatenate, zip(*waiting)))
+                    waiting, many = [], 0
+    if waiting:
+        keep(*map(np.concatenate, zip(*waiting)))
     kx, ky, bx, by, _, _ = _unique(pairs)
     return pa.RecordBatch.from_arrays([pa.array(kx), pa.array(bx.astype(np.int32)), pa.array(ky), pa.array(by.astype(np.int32))], names=["kx", "bx", "ky", "by"])
 
 
 def candidates(cells: DataFrame, since: int) -> DataFrame:
-    """met() of all cells: they come in the order of their leads, and a lead is in one task."""
+    """met() of all entries: they come in the order of their buckets, and a bucket is in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            last = batch.column("lead")[-1].as_py()
-            if sum(h.num_rows for h in held) < CHUNK_ROWS or held[0].column("lead")[0].as_py() == last:
-                continue
-            whole = pa.Table.from_batches(held)
-            cut = int(np.searchsorted(whole.column("lead").to_numpy(), last, "left"))
-            yield met(whole.slice(0, cut), since)
-            held = whole.slice(cut).to_batches()
-        if held:
-            yield met(pa.Table.from_batches(held), since)
+        rows = ((x, y) for batch in batches for x, y in zip(batch.column("bucket").to_pylist(), batch.column("entries")))
+        for _, own in groupby(rows, lambda row: row[0]):
+            yield met(pa.Table.from_batches([pa.ipc.read_record_batch(y.as_buffer(), _ENTRY) for _, y in own]), since)
 
     return cells.mapInArrow(run, "kx long, bx int, ky long, by int")
 
@@ -532,7 +604,8 @@ class VectorCells:
     def _edges(self, nodes: DataFrame, frequent: tuple[np.ndarray, np.ndarray], scratch: Scratch) -> DataFrame:
         """kx, bx, ky, by, like of the new messages (x) and the earlier ones (y), new or accepted, that are the same."""
         known = nodes.unionByName(self._read("accepted")) if self.appends else nodes
-        cells = entries(known, frequent).repartition("lead").sortWithinPartitions("lead")
+        buckets = max(self.spark.sparkContext.defaultParallelism, -(-known.count() * ENTRIES // CHUNK_ROWS))
+        cells = entries(known, frequent, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket")
         pairs = scratch.cut(candidates(cells, self.appends).distinct())
         scratch.collect()
         named = pairs.select(F.col("kx").alias("k")).unionByName(pairs.select(F.col("ky").alias("k")))

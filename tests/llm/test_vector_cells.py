@@ -170,3 +170,27 @@ def test_large_cells_give_the_pairs_of_small_ones(monkeypatch, since):
                 want.add((i, j) if (i % 2, i) > (j % 2, j) else (j, i))
     assert pairs[0] == pairs[1] and len(want) > 100 and want <= pairs[0]
     assert all(x % 2 or y % 2 for x, y in pairs[0]) or since == 0
+
+
+def test_entries_come_in_few_rows_and_whole(spark):
+    texts = [words(k, 8 + k % 60) for k in range(400)]
+    df = spark.createDataFrame([(k % 3, BIG + k, len(t), " ".join(t)) for k, t in enumerate(texts)], "b int, k long, n int, text string").coalesce(1)
+    none = (np.array([], np.int64), np.array([], np.int64))
+    got, buckets = set(), {}
+    rows = v.entries(df, none, 7).collect()
+    assert {r.bucket for r in rows} == set(range(7)) and len(rows) <= 14
+    for row in rows:
+        for e in pa.ipc.read_record_batch(pa.py_buffer(row.entries), v._ENTRY).to_pylist():
+            assert buckets.setdefault(e["lead"], row.bucket) == row.bucket and e["b"] == (e["k"] - BIG) % 3
+            sketch = np.array([e[c] for c in v._SKETCHES])
+            assert e["n"] == len(texts[e["k"] - BIG]) and (sketch == v.sketch_of(v._Batch([texts[e["k"] - BIG]]).codes)).all()
+            got |= {(e["k"] - BIG, e["lead"], int.from_bytes(e["cells"][i : i + 3], "little")) for i in range(0, len(e["cells"]), 3)}
+    assert got == set(zip(*(c.tolist() for c in v.signatures(v._Batch(texts), none))))
+
+
+def test_orders_of_numbers_that_fit_one_and_that_do_not():
+    r = np.random.default_rng(3)
+    for top in (5, 1 << 40):
+        major, minor = r.integers(0, top, 1000), r.integers(0, 9, 1000) * (top // 9 + 1)
+        assert (v._order(major, minor) == np.lexsort((minor, major))).all()
+    assert not len(v._order(major[:0], minor[:0]))
