@@ -62,6 +62,8 @@ SKETCH, TELLING = 4, 1 / 4
 #: these.
 ENTRIES, CHUNK_ROWS, CHUNK_PAIRS = 22, 200_000, 2_000_000
 LARGE_CELL, BLOCK = 32, (64, 2048)
+#: Matches that one task goes through in order, at most.
+AT_ONCE = 1_000_000
 _SKETCHES = [f"s{i}" for i in range(SKETCH)]
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -440,7 +442,8 @@ def met(rows: pa.Table, since: int) -> pa.RecordBatch:
     past = not late.all()
     begin = np.searchsorted(number + length, number - (-length * 4 // 5), "left") if past else np.arange(1, len(row) + 1)
     to = np.searchsorted(number + length, number + length * 5 // 4, "right")
-    halves, most, least = [s[row] for s in sketches[: SKETCH // 2]], length.astype(np.int32), need[row].astype(np.int32)
+    parts, most, least = [s[row] for s in sketches], length.astype(np.int32), need[row].astype(np.int32)
+    half, other = parts[: SKETCH // 2], parts[SKETCH // 2 :]
     pairs: list[np.ndarray] = []
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
     many = 0
@@ -456,14 +459,20 @@ def met(rows: pa.Table, since: int) -> pa.RecordBatch:
         x, y = np.where(later, x, y), np.where(later, y, x)
         pairs.append(_unique([np.stack([k[x], k[y], b[x], b[y], n[x], n[y]])]))
 
-    # New messages with all that follow in the cell, and with those of the past before them: first by half of the sketches.
+    def nearer(x: np.ndarray, y: np.ndarray, lost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What of these pairs is left by the other half of the sketches; lost: the words by the first one."""
+        lost = lost.astype(np.int32) + sum(np.bitwise_count(s[x] & ~s[y]) for s in other)
+        good = np.flatnonzero(lost <= most[x] - np.maximum(least[x], least[y]))
+        return x[good], y[good]
+
+    # New messages with all that follow in the cell, and with those of the past before them.
     large = np.repeat(held >= LARGE_CELL, held)
     new = np.flatnonzero(late & ~large)
     for x, y in _spread(begin[new], to[new]):
         x = new[x]
-        lost = sum(np.bitwise_count(s[x] & ~s[y]) for s in halves)
-        good = np.flatnonzero(lost <= most[x] - np.maximum(least[x], least[y]))
-        keep(x[good], y[good])
+        lost = sum(np.bitwise_count(s[x] & ~s[y]) for s in half)
+        good = np.flatnonzero(lost <= most[x] - least[y])
+        keep(*nearer(x[good], y[good], lost[good]))
     for start, size in zip(first[held >= LARGE_CELL].tolist(), held[held >= LARGE_CELL].tolist()):
         new = np.flatnonzero(late[start : start + size]) + start
         for p in range(0, len(new), BLOCK[0]):
@@ -471,10 +480,14 @@ def met(rows: pa.Table, since: int) -> pa.RecordBatch:
             end = int(to[x[-1]])
             for q in range(int(begin[x[0]]), end, BLOCK[1]):
                 y = slice(q, min(q + BLOCK[1], end))
-                lost = sum(np.bitwise_count(s[x][:, None] & ~s[y]) for s in halves)
-                u, v = np.nonzero(lost <= most[x][:, None] - np.maximum(least[x][:, None], least[y]))
-                waiting.append((x[u], v + q))
-                many += len(u)
+                limit = (most[x[-1]] - least[y]).clip(0, 255).astype(np.uint8)  # no x of the block may lose more
+                lost = np.zeros((len(x), len(limit)), np.uint8)
+                for s in half:
+                    lost += np.bitwise_count(s[x][:, None] & ~s[y])
+                good = np.flatnonzero(lost <= limit)
+                u, v = np.divmod(good, len(limit))
+                waiting.append(nearer(x[u], v + q, lost.ravel()[good]))
+                many += len(waiting[-1][0])
                 if many >= CHUNK_PAIRS:
                     keep(*map(np.concatenate, zip(*waiting)))
                     waiting, many = [], 0
@@ -495,6 +508,16 @@ def candidates(cells: DataFrame, since: int) -> DataFrame:
     return cells.mapInArrow(run, "kx long, bx int, ky long, by int")
 
 
+def one_by_one(matches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k of the rows that taking them in order rejects; the matches are (kx, bx, ky), y before x."""
+    kx, bx, ky = (np.concatenate(c) for c in zip(*([c.to_numpy() for c in batch.columns] for batch in matches)))
+    order, gone = np.lexsort((kx, bx)), set()
+    for x, y in zip(kx[order].tolist(), ky[order].tolist()):
+        if y not in gone:
+            gone.add(x)
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(gone), pa.int64())], names=["k"])
+
+
 class VectorCells:
     """The persisted index in a shared folder; append() takes one or more batches.
 
@@ -623,22 +646,23 @@ class VectorCells:
         return past.unionByName(self._in_order(inner, scratch))
 
     def _in_order(self, edges: DataFrame, scratch: Scratch) -> DataFrame:
-        """k: the rows that taking them one by one rejects, by rounds over the matches.
+        """k: the rows that taking them one by one rejects.
 
         A row is accepted when all earlier rows that it matches are rejected, and rejected
-        when one of them is accepted. A round settles every row whose earlier matches are
-        settled; there are as many rounds as the longest chain of matches has links.
+        when one of them is accepted. AT_ONCE matches or fewer are gone through in order by
+        one task. More of them are lessened by rounds: a round settles every row whose
+        earlier matches are settled; there are as many as the longest chain has links.
         """
         rejected = self.spark.createDataFrame([], "k long")
-        edges = edges.select("kx", "ky")
-        while not edges.isEmpty():
+        edges = edges.select("kx", "bx", "ky")
+        while (left := edges.count()) > AT_ONCE:
             # Earlier rows that are themselves undecided have matches left.
             undecided = edges.select(F.col("kx").alias("ky")).distinct()
             gone = scratch.cut(edges.join(undecided, "ky", "left_anti").select(F.col("kx").alias("k")).distinct())
             rejected = rejected.unionByName(gone)
             rest = edges.join(gone.withColumnRenamed("k", "kx"), "kx", "left_anti").join(gone.withColumnRenamed("k", "ky"), "ky", "left_anti")
-            edges = scratch.cut(rest.select("kx", "ky"))
-        return rejected
+            edges = scratch.cut(rest.select("kx", "bx", "ky"))
+        return rejected.unionByName(edges.coalesce(1).mapInArrow(one_by_one, "k long")) if left else rejected
 
 
 _SCHEMAS = {

@@ -194,3 +194,24 @@ def test_orders_of_numbers_that_fit_one_and_that_do_not():
         major, minor = r.integers(0, top, 1000), r.integers(0, 9, 1000) * (top // 9 + 1)
         assert (v._order(major, minor) == np.lexsort((minor, major))).all()
     assert not len(v._order(major[:0], minor[:0]))
+
+
+@pytest.mark.parametrize("at_once", [0, 20, 10**6])
+def test_matches_are_settled_alike_by_one_task_and_by_rounds(spark, monkeypatch, at_once):
+    monkeypatch.setattr(v, "AT_ONCE", at_once)
+    r = random.Random(6)
+    order = [(r.randrange(3), k) for k in r.sample(range(1000), 60)]
+    order.sort()
+    matches, gone = [], set()
+    for x in range(60):
+        own = r.sample(range(x), min(x, r.randrange(4)))
+        matches += [(order[x][1], order[x][0], order[y][1], order[y][0]) for y in own]
+        if any(y not in gone for y in own):
+            gone.add(x)
+    index = v.VectorCells(spark, scratch(spark, "t"))
+    edges = spark.createDataFrame(matches, "kx long, bx int, ky long, by int").repartition(3)
+    with v.Scratch(spark, "t") as stages:
+        before = stages.stages
+        got = sorted(row.k for row in index._in_order(edges, stages).collect())
+        assert (stages.stages == before) == (at_once == 10**6)
+    assert got == sorted(order[x][1] for x in gone) and len(gone) > 20
